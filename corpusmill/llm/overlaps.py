@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_width
+from ..session import cut, shuffle_width
 from .components import components
 from .tiles import BLOB_SCHEMA, FLUSH_BYTES, POSTING, Buckets, arrange, candidates, unpack
 from .wordsets import Lexicon, class_ids, flatten, record_words, sketches
@@ -203,7 +203,7 @@ def cross_split_overlaps(chat: DataFrame, threshold: Fraction = Fraction(7, 10))
     records = _sides(chat)
     width = shuffle_width(chat.sparkSession)
     postings = prefix_postings(records, threshold, 4 * width)
-    pairs = prefix_pairs(postings, threshold, width).distinct().select(F.col("e").alias("a"), F.col("t").alias("b"))
+    pairs = cut(prefix_pairs(postings, threshold, width).distinct().select(F.col("e").alias("a"), F.col("t").alias("b")))
     m = members(records).persist()
     good = verified(pairs, m.groupBy("class").agg(F.min("row_id").alias("rep")), records, threshold)
     own = m.groupBy("class").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y")
@@ -293,7 +293,7 @@ def near_duplicate_groups(chat: DataFrame, threshold: Fraction = Fraction(7, 10)
     """
     records = chat.select("row_id", "user_text", "assistant_text", F.lit(0).alias("side"))
     n = shuffle_width(chat.sparkSession)
-    pairs = signature_pairs(signature_postings(records, 4 * n, coordinates, width, collisions), threshold, n, collisions)
+    pairs = cut(signature_pairs(signature_postings(records, 4 * n, coordinates, width, collisions), threshold, n, collisions))
     m = members(records).select("class", "row_id").persist()
     first = m.groupBy("class").agg(F.min("row_id").alias("rep"), F.count("*").alias("n"))
     root = components(verified(pairs, first, records, threshold).select("a", "b"))

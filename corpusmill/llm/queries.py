@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import overlaps
+from . import copies, leaks, overlaps, packing, pairs, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,127 @@ def p3_summary(spark: SparkSession, d: str) -> DataFrame:
     """Number of groups by size, and the near-duplicate rows (all but one of each group)."""
     g = overlaps.near_duplicate_groups(table(spark, d, "chat_examples")).groupBy("group_id").agg(F.count("*").alias("members"))
     return g.groupBy("members").agg(F.count("*").alias("groups"), F.sum(F.col("members") - 1).alias("near_duplicate_content_rows"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "chat_examples"), table(spark, d, "common_words"))
+
+
+@query
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by source and defect; a null defect counts the sound rows."""
+    chat = table(spark, d, "chat_examples")
+    found = pairs.defective_pairs(chat, table(spark, d, "common_words"))
+    return chat.select("row_id", "source").join(found, "row_id", "left").groupBy("source", "defect").agg(F.count("*").alias("rows"))
+
+
+@query
+def p2_empty_assistant(spark: SparkSession, d: str) -> DataFrame:
+    """The empty answers alone, by split: the null, the blank and those that are only a mark."""
+    chat = table(spark, d, "chat_examples")
+    found = pairs.defective_pairs(chat, table(spark, d, "common_words")).where("defect = 'empty'")
+    return found.join(chat.select("row_id", overlaps.split_of("split").alias("split")), "row_id").groupBy("split").agg(F.count("*").alias("empty_assistant_rows"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.wrong_targets(table(spark, d, "encoded_examples"), table(spark, d, "chat_examples"))
+
+
+@query
+def p4_target_cube(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.target_token_cube(table(spark, d, "encoded_examples"), table(spark, d, "chat_examples"))
+
+
+@query
+def p4_split_check(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.summary_differences(table(spark, d, "encoded_examples"), table(spark, d, "chat_examples"), table(spark, d, "split_summaries"), overlaps.split_of("split"))
+
+
+@query
+def p4_document_cube(spark: SparkSession, d: str) -> DataFrame:
+    docs = tokens.with_token_count(table(spark, d, "documents").select("text", "source", "lang", "topic"), "text", "n_tokens")
+    return tokens.token_cube(docs, "n_tokens", "source", "lang", "topic")
+
+
+@query
+def p4_bpe_cube(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    """Tokens of documents.text under a public byte-pair vocabulary of 50,256 tokens; its path is a parameter."""
+    import public_tokenizers as P
+
+    return tokens.bpe_budget(table(spark, d, "documents"), spark, tokenizer or P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.formatting_copies(table(spark, d, "chat_examples")).where("row_id <> kept_id")
+
+
+@query
+def p5_representatives(spark: SparkSession, d: str) -> DataFrame:
+    return copies.representatives(table(spark, d, "chat_examples"))
+
+
+@query
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"))
+
+
+@query
+def p7_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_summary(packing.packed(table(spark, d, "documents")))
+
+
+@query
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens placed of each document: every token of every document in exactly one container."""
+    return packing.packed(table(spark, d, "documents")).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query
+def p8_locations(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return leaks.without_leaks(docs, leaks.leaks(docs, table(spark, d, "eval_items"))).select("doc_id", "lang", "source", "topic", "n_chars")
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.scored(table(spark, d, "documents"), table(spark, d, "common_words")).where("kind is not null").select("doc_id", "kind")
+
+
+@query
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics, distance, contributions and kind, one column each."""
+    s = quality.scored(table(spark, d, "documents"), table(spark, d, "common_words"))
+    each = [F.col("stats")[i].alias(n) for i, n in enumerate(quality.STATISTICS)] + [F.col("contributions")[i].alias(f"{n}_part") for i, n in enumerate(quality.STATISTICS)]
+    return s.select("doc_id", "spoken", "word_count", *each, "distance2", "outlier", "kind")
+
+
+_BYTES = "octet_length(encode(coalesce({0}, '')))"
+_TRIMMED = "trim(coalesce({0}, ''), chr(32) || chr(9) || chr(10) || chr(13))"
+_ANSWER = _BYTES.format(_TRIMMED.format("c.assistant_text"))
+_EXPECTED = f"least({_ANSWER} + 1, e.max_length - 1)"
+_SPLIT = "case lower(trim({0})) when 'train' then 'train' when 'training' then 'train' when 'val' then 'val' when 'validation' then 'val' when 'valid' then 'val' when 'dev' then 'val' when 'test' then 'test' when 'testing' then 'test' end"
+_CANON = "regexp_replace(lower(upper(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+SQL |= {
+    "p4_found": f"select e.enc_id from encoded_examples e left join chat_examples c using (row_id) where e.target_token_count is null or e.target_token_count <> case when c.row_id is not null then {_EXPECTED} end",
+    "p4_target_cube": f"with one as (select row_id, arg_min(expected, enc_id) as expected from (select e.row_id, e.enc_id, {_EXPECTED} as expected from encoded_examples e join chat_examples c using (row_id)) group by row_id) select source, lang, task_family, grouping_id(source, lang, task_family) as level, count(*) as examples, sum(expected)::bigint as tokens from one join chat_examples using (row_id) group by cube (source, lang, task_family)",
+    "p4_split_check": f"with one as (select shard_id, row_id, arg_min(expected, enc_id) as expected from (select e.shard_id, e.row_id, e.enc_id, {_EXPECTED} as expected from encoded_examples e join chat_examples c using (row_id)) group by all), per as (select shard_id, coalesce({_SPLIT.format('c.split')}, 'train') as split, sum(expected)::bigint as recomputed_tokens from one join chat_examples c using (row_id) group by all) select shard_id, split, target_tokens, recomputed_tokens, target_tokens is not distinct from recomputed_tokens as agrees from split_summaries left join per using (shard_id, split)",
+    "p4_document_cube": f"select source, lang, topic, grouping_id(source, lang, topic) as level, count(*) as examples, sum({_BYTES.format('text')})::bigint as tokens from documents group by cube (source, lang, topic)",
+    "p5_found": f"with k as (select row_id, least(u, a) || '|' || greatest(u, a) as key from (select row_id, {_CANON.format('user_text')} as u, {_CANON.format('assistant_text')} as a from chat_examples)) select kept_id, row_id from (select row_id, min(row_id) over (partition by key) as kept_id from k) where row_id <> kept_id",
+    "p5_representatives": f"with k as (select row_id, least(u, a) || '|' || greatest(u, a) as key from (select row_id, {_CANON.format('user_text')} as u, {_CANON.format('assistant_text')} as a from chat_examples)) select min(row_id) as kept_id, count(*) as copies from k group by key",
+    "p7_coverage": f"select doc_id, {_BYTES.format('text')}::bigint as tokens from documents where coalesce(text, '') <> ''",
+    "p8_found": "with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as ws from documents), g as (select distinct doc_id, array_to_string(list_slice(ws, i, i + 11), ' ') as gram from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12)), q as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as ws from eval_items), p as (select distinct item_id, array_to_string(list_slice(ws, i, i + 11), ' ') as gram from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from q where len(ws) >= 12)) select distinct doc_id, item_id from g join p using (gram)",
+}

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 POSTING = np.dtype([("key", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "<u4"), ("pos", "<u2"), ("side", "u1"), ("skip", "<u2")])
-BLOCK_PAIRS = 1 << 20
+BLOCK_ROWS, BLOCK_PAIRS = 128, 1 << 16
 SHORT_LIST = 64
 FLUSH_BYTES = 24 << 20
 BLOB_SCHEMA = "bucket int, blob binary"
@@ -78,7 +78,7 @@ def candidates(p: np.ndarray, num: int, den: int, sided: bool) -> Iterator[tuple
         if sided:
             m = a + int(np.searchsorted(side[a:b], 1))
             if a < m < b:
-                for x, y in meet(p[a:m], p[m:b], num, den):
+                for x, y in meet_sides(p[a:m], p[m:b], num, den):
                     yield x + a, y + m
         else:
             for x, y in meet(p[a:b], p[a:b], num, den, same=True):
@@ -89,38 +89,64 @@ def arrange(p: np.ndarray, sided: bool) -> np.ndarray:
     return p[np.lexsort((p["n"], p["side"], p["key"]) if sided else (p["n"], p["key"]))]
 
 
-def meet(e: np.ndarray, t: np.ndarray, num: int, den: int, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into e, into t; both sorted by n) that can still reach an overlap of num/den.
+def meet_sides(e: np.ndarray, t: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two lists of one prefix word, by the position filter as well.
 
-    same: e is t, and each unordered pair is met once. All bounds are exact integers.
+    If the word is the first that two sets of n and m words share, at positions i and j, they share at most
+    min(n - i, m - j) words. So a posting has a largest partner; where that is smaller than its own set, it needs
+    no partner of its own kind: either list is cut in two, and of the four meetings one falls away.
     """
+    cuts = []
+    for p in (e, t):
+        n = p["n"].astype(np.int64)
+        most = (n - p["pos"]) * (num + den) // num - n
+        cuts.append((most, np.flatnonzero(most >= n), np.flatnonzero(most < n)))
+    (me, e_wide, e_late), (mt, t_wide, t_late) = cuts
+    for rows in (e_wide, e_late):
+        if len(rows) and len(t_wide):
+            for x, y in meet(e[rows], t[t_wide], num, den, most_size=me[rows]):
+                yield rows[x], t_wide[y]
+    if len(t_late) and len(e_wide):
+        for y, x in meet(t[t_late], e[e_wide], num, den, most_size=mt[t_late]):
+            yield e_wide[x], t_late[y]
+
+
+def meet(e: np.ndarray, t: np.ndarray, num: int, den: int, same: bool = False, most_size: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into e, into t) that can still reach an overlap of num/den; t must be sorted by n.
+
+    most_size: for each row of e the largest n of a partner. same: e is t, and each unordered pair is met once.
+    All bounds are exact integers.
+    """
+    en, tn = e["n"].astype(np.int64), t["n"].astype(np.int64)
+    most_size = den * en // num if most_size is None else np.minimum(most_size, den * en // num)
+    order = np.arange(len(e)) if same else np.argsort(most_size, kind="stable")
+    e, en, most_size = e[order], en[order], most_size[order]
     e0, t0 = np.ascontiguousarray(e["s0"]), np.ascontiguousarray(t["s0"])
     e1, t1 = np.ascontiguousarray(e["s1"]), np.ascontiguousarray(t["s1"])
-    en, tn = e["n"].astype(np.int64), t["n"].astype(np.int64)
-    i = 0
-    while i < len(e):
-        lo = int(np.searchsorted(tn, -(-num * en[i] // den)))
-        if same:
-            lo = max(lo, i)
-        step = max(1, min(len(e) - i, BLOCK_PAIRS // max(1, len(t) - lo)))
-        j = i + step
-        hi = int(np.searchsorted(tn, den * en[j - 1] // num, side="right"))
-        a = lo
-        while a < hi:
-            b = min(hi, a + BLOCK_PAIRS)
-            most = (den - num) * (en[j - 1] + tn[b - 1]) // (den + num)
-            near = np.bitwise_count(e0[i:j, None] ^ t0[None, a:b])
-            x, y = np.nonzero(near <= min(most, 64))
-            if len(x):
-                d = near[x, y].astype(np.int64)
-                x, y = x + i, y + a
+    # buffers of one block stay in the processor's cache and are used again for every block
+    xor, bits, near = np.empty(BLOCK_PAIRS, np.uint64), np.empty(BLOCK_PAIRS, np.uint8), np.empty(BLOCK_PAIRS, bool)
+    for i in range(0, len(e), BLOCK_ROWS):
+        j = min(i + BLOCK_ROWS, len(e))
+        largest = int(en[i:j].max())
+        lo = int(np.searchsorted(tn, -(-num * int(en[i:j].min()) // den)))
+        hi = int(np.searchsorted(tn, int(most_size[j - 1]), side="right"))
+        column, wide = e0[i:j, None], BLOCK_PAIRS // (j - i)
+        for a in range(max(lo, i) if same else lo, hi, wide):
+            b = min(hi, a + wide)
+            w = b - a
+            k = (j - i) * w
+            most = (den - num) * (largest + int(tn[b - 1])) // (den + num)
+            np.bitwise_xor(column, t0[None, a:b], out=xor[:k].reshape(j - i, w))
+            np.bitwise_count(xor[:k], out=bits[:k])
+            np.less_equal(bits[:k], np.uint8(min(most, 64)), out=near[:k])
+            at = np.flatnonzero(near[:k])
+            if len(at):
+                d = bits[at].astype(np.int64)
+                x, y = at // w + i, at % w + a
                 d += np.bitwise_count(e1[x] ^ t1[y])
                 n, m = en[x], tn[y]
                 ok = (d * (den + num) <= (den - num) * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
                 if same:
                     ok &= x < y
-                x, y = x[ok], y[ok]
-                if len(x):
-                    yield x, y
-            a = b
-        i = j
+                if ok.any():
+                    yield order[x[ok]], y[ok]
