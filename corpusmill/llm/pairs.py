@@ -30,7 +30,7 @@ _OPEN, _CLOSE, _OTHER = re.compile(OPENERS), re.compile(CLOSERS), re.compile(OTH
 _SENTENCE = re.compile(r"[^.!?…]+")
 _STRUCTURE = re.compile(r"```|[()\[\]{}«»„“”]")
 _CLOSING = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“", "“": "„"}
-_BLANK = " \t\r\n\v\f ​‌‍  ⁠﻿"
+_BLANK = " \t\r\n\v\f\u00a0\u200b\u200c\u200d\u2009\u2028\u2060\ufeff"
 _ITEM = re.compile(r"^\s*(?:[-*•+–]|\d+[.)]|\[[ x]\])\s*")
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: The byte tokenizer: one token per UTF-8 byte.
 BYTE_VOCABULARY = {bytes([i]): i for i in range(256)}
@@ -106,7 +107,7 @@ def with_token_count(df: DataFrame, text: str, out: str, ranks: dict[bytes, int]
     sent = df.sparkSession.sparkContext.broadcast(ranks)
     made: list[TokenAutomaton] = []
 
-    @F.arrow_udf("long")
+    @F.arrow_udf(LongType())
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not made:
             made.append(TokenAutomaton(sent.value, pattern))
