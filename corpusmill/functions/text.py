@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: fixed values: the characters that count as white space (as str.split and str.strip see them), for Java's regex
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
@@ -51,12 +52,17 @@ def nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _bytes_of(texts: pa.Array) -> pa.Array:
+    data = texts.cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    body = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(body))
+
+
 def utf8_bytes(c: Column | str) -> Column:
-    """The bytes of a text as array<int>; null has none. Stays in the JVM, bytes unpacked from their hex form."""
-    h = F.hex(F.encode(F.coalesce(as_column(c), F.lit("")), "UTF-8"))
-    n = F.length(h) / 2
-    digits = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.conv(F.substr(h, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(digits)
+    """The bytes of a text as array<int>; null has none. One Arrow call a batch, without a Python loop over rows."""
+    return _bytes_of(F.coalesce(as_column(c), F.lit("")))
 
 
 def bytes_text(c: Column | str) -> Column:
