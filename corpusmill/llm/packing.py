@@ -111,7 +111,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, windows: int = OPEN_W
 
 
 def packing_summary(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, tokens, share of unused space and the least containers that could hold them."""
+    """One row: containers, tokens, share of unused space (0 without containers) and the least containers that could hold them."""
     c = containers.groupBy("container", "container_piece").agg(F.sum("tokens").alias("n"))
     total = F.coalesce(F.sum("n"), F.lit(0))
-    return c.agg(F.count("*").alias("containers"), total.alias("tokens"), F.max("n").alias("fullest"), (1 - total / (F.count("*") * capacity)).alias("unused_share"), F.ceil(total / capacity).alias("least_containers"))
+    return c.agg(F.count("*").alias("containers"), total.alias("tokens"), F.max("n").alias("fullest"), F.coalesce(1 - F.try_divide(total, F.count("*") * capacity), F.lit(0.0)).alias("unused_share"), F.ceil(total / capacity).alias("least_containers"))

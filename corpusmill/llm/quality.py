@@ -121,14 +121,14 @@ def kind_of(text: str | None, words: list[str]) -> str | None:
         return "junk"
     if len(words) >= 12 and 2 * len(set(words)) < len(words):
         pairs = Counter(zip(words, words[1:], strict=False))
-        if len(pairs) <= 0.35 * (len(words) - 1) and len(pairs) < 200:
+        if len(pairs) <= 0.25 * (len(words) - 1) and len(pairs) < 200:
             return "junk"
     n = len(lines)
+    if n >= 2 and sum(bool(_LOG.search(x[:200])) for x in lines) * 2 > n:
+        return "junk"
     if n <= 2:
         marks = sum(map(bool, map(_MARK.match, lines)))
         return "list" if marks == n == 2 else None
-    if n >= 2 and sum(bool(_LOG.search(x[:200])) for x in lines) * 2 > n:
-        return "junk"
     marked = [bool(_MARK.match(x)) for x in lines]
     if n >= 2 and sum(marked) * 2 >= n and sum(marked) >= 2:
         return "list"
