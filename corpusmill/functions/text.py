@@ -20,24 +20,40 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The same characters one by one, for trimming without a regular expression.
+_SPACE_CHARS = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def _text(c: Column | str) -> Column:
+    return F.coalesce(as_column(c), F.lit(""))
+
+
+def _is_ascii(c: Column) -> Column:
+    """Most texts are: they take patterns of plain ranges, several times as fast as Unicode classes."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at either end; null becomes empty."""
-    return F.regexp_replace(F.coalesce(as_column(c), F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_text(c), F.lit(_SPACE_CHARS))
 
 
 def collapse(c: Column | str) -> Column:
     """Every run of white space as one space, none at the ends; null becomes empty."""
-    return F.btrim(F.regexp_replace(F.coalesce(as_column(c), F.lit("")), f"{SPACE}+", " "))
+    t = _text(c)
+    return F.btrim(F.when(_is_ascii(t), F.regexp_replace(t, r"[\x09-\x0D\x1C-\x20]+", " ")).otherwise(F.regexp_replace(t, f"{SPACE}+", " ")))
 
 
 def words(c: Column | str) -> Column:
     """The words of a text in lower case, in order; null has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(as_column(c), F.lit(""))), F.lit(WORDS), 0)
+    t = F.lower(_text(c))
+    return F.when(_is_ascii(t), F.regexp_extract_all(t, F.lit("[a-z0-9_]+"), 0)).otherwise(F.regexp_extract_all(t, F.lit(WORDS), 0))
 
 
 def fingerprint_text(c: Column | str) -> Column:
     """The words joined by single spaces: equal for texts that differ in case, punctuation and spacing only."""
-    return F.array_join(words(c), " ")
+    t = F.lower(_text(c))
+    return F.btrim(F.when(_is_ascii(t), F.regexp_replace(t, "[^a-z0-9_]+", " ")).otherwise(F.regexp_replace(t, r"[^\p{L}\p{N}_]+", " ")))
 
 
 @F.arrow_udf(StringType())
