@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("record_queries", "audit_queries", "encode_queries", "metric_queries", "grid_queries")
+MODULES = ("record_queries", "audit_queries", "encode_queries", "metric_queries", "grid_queries", "corpus_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
