@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shuffle_width
 from .components import components
-from .tiles import BLOB_SCHEMA, FLUSH_BYTES, POSTING, Buckets, arrange, candidates, unpack
+from .tiles import BLOB_SCHEMA, FLUSH_BYTES, POSTING, Buckets, arrange, candidates, linked, unpack
 from .wordsets import Lexicon, class_ids, flatten, record_words, sketches
 
 #: A word counts as frequent from this share of the records on. A record with w distinct words adds w to the sum
@@ -264,21 +264,80 @@ def signature_postings(records: DataFrame, buckets: int, coordinates: int, width
     return records.select("user_text", "assistant_text").mapInArrow(post, BLOB_SCHEMA)
 
 
+_MET = "a long, b long, hits int, skip int, dense boolean"
+
+
+def _met(x: np.ndarray, y: np.ndarray, hits: np.ndarray, skip: np.ndarray, dense: bool = False) -> pa.RecordBatch:
+    lo, hi = np.minimum(x, y), np.maximum(x, y)
+    return pa.RecordBatch.from_arrays([pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(hits.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.array(np.full(len(lo), dense))], ["a", "b", "hits", "skip", "dense"])
+
+
+def _enough(met: DataFrame, collisions: int) -> DataFrame:
+    """Pairs with enough collisions; those of dense lists stand without counting, and are verified like all others."""
+    return met.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("skip").alias("skip"), F.bool_or("dense").alias("dense")).where(F.col("dense") | (F.col("hits") + F.col("skip") >= collisions)).select("a", "b", "dense")
+
+
 def signature_pairs(postings: DataFrame, threshold: Fraction, width: int, collisions: int) -> DataFrame:
-    """(a, b) of sets whose signatures collide in at least `collisions` coordinates and pass the size and parity filters."""
+    """(a, b, dense) of sets whose signatures collide in at least `collisions` coordinates and pass the size and parity filters.
+
+    A row with a = b and dense stands for a dense list (see tiles.candidates), of which only some pairs are here.
+    """
     num, den = threshold.numerator, threshold.denominator
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = arrange(unpack(batches), False)
-        for i, j in candidates(p, num, den, False):
+        dense: list[int] = []
+        told = 0
+        for i, j in candidates(p, num, den, False, dense):
             x, y = p["id"][i], p["id"][j]
+            if len(dense) > told:  # these pairs and the next ones of the same list
+                at = p[dense[told]]
+                yield _met(at["id"].reshape(1), at["id"].reshape(1), np.zeros(1), np.zeros(1), True)
+                told = len(dense)
+            in_dense = told > 0 and p["key"][i[0]] == p["key"][dense[-1]] if len(i) else False
             ok = (x != y) & (p["pos"][i] == p["pos"][j])
-            x, y, skip = x[ok], y[ok], (p["skip"][i] == p["skip"][j])[ok]
-            lo, hi = np.minimum(x, y), np.maximum(x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(np.ones(len(lo), np.int32)), pa.array(skip.astype(np.int32))], ["a", "b", "hits", "skip"])
+            skip = (p["skip"][i] == p["skip"][j])[ok]
+            yield _met(x[ok], y[ok], np.ones(len(skip)), skip, in_dense)
 
-    met = postings.repartition(width, "bucket").mapInArrow(count, "a long, b long, hits int, skip int")
-    return met.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("skip").alias("skip")).where(F.col("hits") + F.col("skip") >= collisions).select("a", "b")
+    return _enough(postings.repartition(width, "bucket").mapInArrow(count, _MET), collisions)
+
+
+def dense_pairs(postings: DataFrame, roots: DataFrame, threshold: Fraction, width: int, collisions: int) -> DataFrame:
+    """(a, b) of all pairs of dense lists that may be linked and lie in different components so far.
+
+    roots(node, root): the components that the first pass found. Only the postings of dense lists are taken.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    fields = [n for n in POSTING.names if n != "side"]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = arrange(unpack(batches), False)
+        dense: list[int] = []
+        for _ in candidates(p, num, den, False, dense):
+            pass
+        for a in dense:
+            q = p[a : a + int(np.searchsorted(p["key"][a:], p["key"][a], side="right"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(q[n]).astype(np.uint64).view(np.int64)) for n in fields], fields)
+
+    rows = postings.repartition(width, "bucket").mapInArrow(take, ", ".join(f"`{n}` long" for n in fields))
+    named = rows.join(roots, rows["id"] == roots["node"], "left").select(*fields, F.coalesce("root", "id").alias("root"))
+
+    def meet_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*[[b.column(c).to_numpy() for c in (*fields, "root")] for b in batches], strict=True)]
+        if not cols:
+            return
+        p = np.zeros(len(cols[0]), POSTING)
+        for n, c in zip(fields, cols, strict=False):
+            p[n] = c.view(np.uint64).astype(POSTING[n])
+        at = np.lexsort((p["n"], p["key"]))
+        p, root = p[at], cols[-1][at]
+        cut_at = np.flatnonzero(np.diff(p["key"])) + 1
+        for a, b in zip([0, *cut_at], [*cut_at, len(p)], strict=True):
+            for i, j in linked(p[a:b], root[a:b], num, den):
+                x, y = p["id"][a:b][i], p["id"][a:b][j]
+                yield _met(x[x != y], y[x != y], np.ones(int((x != y).sum())), np.zeros(int((x != y).sum())), True)
+
+    return _enough(named.repartition(width, "key").mapInArrow(meet_labels, _MET), collisions).select("a", "b")
 
 
 def near_duplicate_groups(chat: DataFrame, threshold: Fraction = Fraction(7, 10), coordinates: int = COORDINATES, width: int = COORDINATE_WIDTH, collisions: int = COLLISIONS) -> DataFrame:
@@ -289,14 +348,23 @@ def near_duplicate_groups(chat: DataFrame, threshold: Fraction = Fraction(7, 10)
     them; pairs with at least `collisions` equal coordinates are kept, then verified exactly on their texts. A pair
     of overlap J is missed with the probability that Binomial(coordinates, J**width) < collisions: 0.3 % at 0.70,
     0.03 % at 0.75, under 0.001 % at 0.80; nothing below the threshold is ever linked. Equal word sets are one
-    class and cost one posting. Records without words (null or empty texts) are in no group.
+    class and cost one posting. In lists where most members may be linked to most others (a text with very many near
+    copies) members are first linked to a few leaders; then only pairs of different components are met, so no list
+    gives all its pairs and none is lost. Records without words (null or empty texts) are in no group.
     """
     records = chat.select("row_id", "user_text", "assistant_text", F.lit(0).alias("side"))
     n = shuffle_width(chat.sparkSession)
-    pairs = cut(signature_pairs(signature_postings(records, 4 * n, coordinates, width, collisions), threshold, n, collisions))
+    postings = signature_postings(records, 4 * n, coordinates, width, collisions)
+    met = cut(signature_pairs(postings, threshold, n, collisions))
     m = members(records).select("class", "row_id").persist()
     first = m.groupBy("class").agg(F.min("row_id").alias("rep"), F.count("*").alias("n"))
-    root = components(verified(pairs, first, records, threshold).select("a", "b"))
+    links = verified(met.where("a <> b").select("a", "b"), first, records, threshold).select("a", "b")
+    if met.where("a = b").isEmpty():
+        root = components(links)
+    else:
+        links = cut(links)
+        more = cut(dense_pairs(postings, components(links), threshold, n, collisions))
+        root = components(links.union(verified(more, first, records, threshold).select("a", "b")))
     grouped = first.join(root.withColumnRenamed("node", "class"), "class", "left")
     of_root = grouped.where("root is not null").groupBy("root").agg(F.min("rep").alias("group_id"))
     known = grouped.join(of_root, "root", "left").where("group_id is not null or n > 1").select("class", F.coalesce("group_id", "rep").alias("group_id"))

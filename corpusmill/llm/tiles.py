@@ -16,6 +16,8 @@ import pyarrow as pa
 POSTING = np.dtype([("key", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "<u4"), ("pos", "<u2"), ("side", "u1"), ("skip", "<u2")])
 BLOCK_ROWS, BLOCK_PAIRS = 128, 1 << 16
 SHORT_LIST = 64
+#: Pairs a member beyond which a list is dense: it is linked through LEADERS first, then by label (see linked()).
+DENSE, LEADERS, LARGE_LABEL = 64, 64, 256
 FLUSH_BYTES = 24 << 20
 BLOB_SCHEMA = "bucket int, blob binary"
 
@@ -49,11 +51,13 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), POSTING) if blobs else np.zeros(0, POSTING)
 
 
-def candidates(p: np.ndarray, num: int, den: int, sided: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def candidates(p: np.ndarray, num: int, den: int, sided: bool, dense: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of postings (i, j) with one key whose sizes and parity vectors allow an overlap of num/den.
 
     sided: only pairs of side 0 with side 1, i on side 0; else every unordered pair once, i < j in the order by size.
     p must be sorted by arrange(). Short lists are met all at once by distance in the array, long ones in blocks.
+    dense: where given, a list with more than DENSE pairs a member yields its members' pairs with a few leaders
+    instead of all pairs, and the start of the list is appended to dense, for linked() to finish.
     """
     if len(p) < 2:
         return
@@ -80,11 +84,57 @@ def candidates(p: np.ndarray, num: int, den: int, sided: bool) -> Iterator[tuple
             if a < m < b:
                 for x, y in meet_sides(p[a:m], p[m:b], num, den):
                     yield x + a, y + m
+        elif dense is None:
+            for x, y in meet(p[a:b], p[a:b], num, den, same=True):
+                yield x + a, y + a
         else:
+            held, n_held = [], 0
             for x, y in meet(p[a:b], p[a:b], num, den, same=True):
+                held.append((x, y))
+                n_held += len(x)
+                if n_held > DENSE * (b - a):
+                    dense.append(int(a))
+                    held = list(star(p[a:b], num, den))
+                    break
+            for x, y in held:
                 yield x + a, y + a
 
 
+def star(p: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each member of a list with the first of its leaders that it may be linked to: at most one pair a member."""
+    lead = np.unique(np.linspace(0, len(p) - 1, min(LEADERS, len(p))).astype(np.int64))
+    free = np.ones(len(p), bool)
+    for i in lead:
+        for _, y in meet(p[i : i + 1], p, num, den):
+            y = y[free[y] & (y != i)]
+            free[y] = False
+            yield np.full(len(y), i), y
+
+
+def linked(p: np.ndarray, label: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one list, sorted by n, that may be linked and carry different labels.
+
+    Members of one label are linked already. Each label with many members meets the others as a block, so a list
+    that is all one label costs nothing; members of small labels meet each other and are told apart afterwards.
+    """
+    of, size = np.unique(label, return_inverse=True, return_counts=True)[1:]
+    large = np.flatnonzero(size >= LARGE_LABEL)
+    groups = [np.flatnonzero(of == g) for g in large]
+    rest = np.flatnonzero(~np.isin(of, large))
+    if len(rest):
+        for x, y in meet(p[rest], p[rest], num, den, same=True):
+            x, y = rest[x], rest[y]
+            apart = label[x] != label[y]
+            if apart.any():
+                yield x[apart], y[apart]
+    groups = [*groups, rest]
+    for k, g in enumerate(groups):
+        for h in groups[k + 1 :]:
+            if len(g) and len(h):
+                for x, y in meet(p[g], p[h], num, den):
+                    yield g[x], h[y]
+
+
 def arrange(p: np.ndarray, sided: bool) -> np.ndarray:
     return p[np.lexsort((p["n"], p["side"], p["key"]) if sided else (p["n"], p["key"]))]
 

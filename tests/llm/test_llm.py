@@ -326,3 +326,31 @@ def test_results_do_not_depend_on_partitioning(spark):
     c = table(spark, SMALL, "chat_examples")
     for f in (overlaps.cross_split_pairs, overlaps.near_duplicate_groups, copies.formatting_copies):
         assert sorted(map(tuple, f(c.repartition(1)).collect())) == sorted(map(tuple, f(c.repartition(6)).collect()))
+
+
+def test_dense_lists_are_linked_without_all_pairs(spark, chat, monkeypatch):
+    """Lists with most pairs near: leaders, then labels, give the components that all pairs give."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    rows, i = [], 0
+    for c in range(3):  # three clusters of near copies, of which each shares half its words with the others
+        base = words[:20] + [f"c{c}x{k}" for k in range(20)]
+        for _ in range(90):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(40)] = f"own{i}y{rng.randrange(9)}"
+            i += 1
+            rows.append((i, None, " ".join(w), None))
+    want = brute_groups(rows)
+    monkeypatch.setattr(tiles, "DENSE", 2)
+    monkeypatch.setattr(tiles, "LEADERS", 3)
+    monkeypatch.setattr(tiles, "LARGE_LABEL", 20)
+    monkeypatch.setattr(tiles, "SHORT_LIST", 8)
+    assert {tuple(r) for r in overlaps.near_duplicate_groups(chat(rows)).collect()} == want
+    p = np.zeros(200, tiles.POSTING)
+    p["n"], p["id"] = 10, np.arange(200)
+    dense = []
+    assert sum(len(x) for x, _ in tiles.candidates(p, 7, 10, False, dense)) <= 200 and dense == [0]
+    assert not list(tiles.linked(p, np.zeros(200, np.int64), 7, 10))
+    label = np.repeat([1, 2], 100)
+    assert sum(len(x) for x, _ in tiles.linked(p, label, 7, 10)) == 100 * 100
