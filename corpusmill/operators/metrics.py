@@ -78,9 +78,11 @@ def telemetry(events: DataFrame, run: str, step: list[str], tokens: str, seconds
     return r.withColumn("tokens_per_second", F.when(F.col("total_seconds") > 0, F.col("total_tokens") / F.col("total_seconds")))
 
 
-def quantiles(df: DataFrame, value: str, *by: str, points: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """Interpolated quantiles; pXX columns."""
-    q = F.percentile(value, F.array(*map(F.lit, points)))
+def quantiles(df: DataFrame, value: str, *by: str, points: tuple[float, ...] = (0.5, 0.9, 0.99), exact: bool = True) -> DataFrame:
+    """Quantiles; pXX columns. Exact ones are interpolated and keep a group's distinct values, so they suit lengths and
+    rounded times; exact=False takes a sketch of fixed size, for any number of distinct values."""
+    at = F.array(*map(F.lit, points))
+    q = F.percentile(value, at) if exact else F.percentile_approx(value, at, 10_000)
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[q[i].alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 
@@ -128,15 +130,17 @@ def draw(scores: DataFrame, key: str, uniforms: DataFrame) -> DataFrame:
     return x.groupBy(key).agg(F.min("token").alias("token"))
 
 
-def route(scores: DataFrame, key: str, experts: int, per_token: int = 2, factor: float = 1.25, least: int = 1) -> DataFrame:
-    """(key, token as expert, p, accepted): each row's best experts, of which each expert takes its heaviest up to capacity."""
-    p = with_probability(scores, key)
+def route(scores: DataFrame, key: str, experts: int, batch: Column, per_token: int = 2, factor: float = 1.25, least: int = 1) -> DataFrame:
+    """(key, batch, expert, p, accepted): each row's best experts, of which each takes its heaviest up to its capacity in the batch.
+
+    Capacity is per batch, as batches are what is routed; so a window holds one batch's routes to one expert, however
+    many rows there are.
+    """
+    p = with_probability(scores, key).withColumn("batch", batch)
     best = p.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("p"), "token"))).where(F.col("_r") <= per_token)
-    routes = best.groupBy("token").agg(F.count("*").alias("_n"))
-    total = routes.agg(F.sum("_n").alias("_all"))
-    cap = F.greatest(F.lit(least), F.ceil(factor * F.col("_all") / experts))
-    x = best.crossJoin(F.broadcast(total))  # with one row
-    return x.withColumn("accepted", F.row_number().over(W.partitionBy("token").orderBy(F.desc("p"), key)) <= cap).select(key, F.col("token").alias("expert"), "p", "accepted")
+    cap = F.greatest(F.lit(least), F.ceil(factor * F.count("*").over(W.partitionBy("batch")) / experts))
+    rank = F.row_number().over(W.partitionBy("batch", "token").orderBy(F.desc("p"), key))
+    return best.withColumn("_cap", cap).select(key, "batch", F.col("token").alias("expert"), "p", (rank <= F.col("_cap")).alias("accepted"))
 
 
 def routing_load(routed: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 MAX_FIELD_CHARS = 1_000_000
 #: metadata keys that name a group, in order of preference
@@ -54,8 +53,3 @@ def group_key(content: Column) -> Column:
         F.when(F.btrim(F.try_variant_get(v, f"$.{k}", "string")) != "", F.concat(F.lit(f"metadata:{k}:"), F.btrim(F.try_variant_get(v, f"$.{k}", "string")))) for k in GROUP_KEYS
     ]
     return F.coalesce(*from_meta, F.when(F.col("id") != "", F.concat(F.lit("id:"), F.col("id"))), F.concat(F.lit("content:"), content))
-
-
-def first_per(df: DataFrame, key: str, line: str = "line") -> DataFrame:
-    """Rows that aren't the first of their key, by line."""
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(line))).where("_rn > 1").drop("_rn")

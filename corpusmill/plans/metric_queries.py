@@ -114,14 +114,14 @@ def logits_draw(spark: SparkSession, d: str) -> DataFrame:
 
 _ROUTE = (
     _PR.replace("from embeddings)", "from (select vec_id, embedding[1:8] as embedding from embeddings))")
-    + ", best as (select * from (select *, row_number() over (partition by vec_id order by p desc, token) as r from p) where r <= 2), routed as (select vec_id, token as expert, p, row_number() over (partition by token order by p desc, vec_id) <= greatest(1, ceil(1.25 * (select count(*) from best) / 8)) as accepted from best)"
+    + ", best as (select * from (select *, row_number() over (partition by vec_id order by p desc, token) as r from p) where r <= 2), routed as (select vec_id, token as expert, p, row_number() over (partition by vec_id // 64, token order by p desc, vec_id) <= greatest(1, ceil(1.25 * count(*) over (partition by vec_id // 64) / 8)) as accepted from best)"
 )
 
 
 @query(f"with {_ROUTE}, per as (select expert, count(*) as routes, count(*) filter (accepted) as accepted_routes from routed group by 1) select expert::int as expert, routes, accepted_routes, {_R('routes / (select sum(routes) from per)')} as load_fraction, {_R('1 - accepted_routes / routes')} as dropped_fraction, (select max(routes) / sum(routes) from per) > 0.9 as collapsed from per")
 def routing_load(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding"))
-    return rounded(metrics.routing_load(metrics.route(metrics.exploded(e, "vec_id", "embedding"), "vec_id", 8)))
+    return rounded(metrics.routing_load(metrics.route(metrics.exploded(e, "vec_id", "embedding"), "vec_id", 8, F.floor(F.col("vec_id") / 64))))
 
 
 _T = ", ".join(map(str, stats.T_95))
