@@ -25,39 +25,46 @@ def canonical(chat: DataFrame) -> DataFrame:
 def _runs(chat: DataFrame) -> DataFrame:
     """(key, low, row_id, edge) of canonical records in order: low is the smallest row_id of the record's run.
 
-    Records are range-partitioned by key and row_id and sorted, with Spark's external sort, then adjacent full
-    keys are compared. The range takes in row_id, so a run of any length is spread over partitions instead of
-    filling one task. `edge` marks rows of a partition's first and last run, which may go on next door.
+    Records are range-partitioned by their key's hash and row_id and sorted by hash, key and row_id, with Spark's
+    external sort, then adjacent full keys are compared. The range takes in row_id, so a run of any length is spread
+    over partitions instead of filling one task; and what is sampled to find the ranges are numbers, not texts. `edge` marks rows of a partition's first and last hash, which may go on next door.
     """
     n = shuffle_width(chat.sparkSession)
-    ordered = canonical(chat).repartitionByRange(n, "key", "row_id").sortWithinPartitions("key", "row_id")
+    k = canonical(chat).withColumn("h", F.xxhash64("key"))
+    ordered = k.repartitionByRange(n, "h", "row_id").sortWithinPartitions("h", "key", "row_id")
 
-    def rows(key: str | None, low: int, ids: list[int], edge: bool) -> pa.RecordBatch:
-        k = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array([key] * k, pa.string()), pa.array([low] * k, pa.int64()), pa.array(ids, pa.int64()), pa.array([edge] * k, pa.bool_())], ["key", "low", "row_id", "edge"])
+    def batch(keys: list, low: list[int], ids: list[int], edge: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(low, pa.int64()), pa.array(ids, pa.int64()), pa.array([edge] * len(ids), pa.bool_())], ["key", "low", "row_id", "edge"])
+
+    def lowest(keys: list[str], ids: list[int]) -> list[int]:
+        """For each row of one hash the first, thus smallest, row_id of its key; full keys are compared."""
+        out = [ids[0]]
+        for i in range(1, len(ids)):
+            out.append(out[-1] if keys[i] == keys[i - 1] else ids[i])
+        return out
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: str | None = None
-        ids: list[int] = []  # the run so far; sorted, so its first is its smallest
+        at: int | None = None
+        keys: list[str] = []  # the rows of the hash that is being read
+        ids: list[int] = []
         first = True
         for b in batches:
             low, out = [], []
-            for k, r in zip(b.column("key").to_pylist(), b.column("row_id").to_pylist(), strict=True):
-                if k == key and ids:
-                    ids.append(r)
-                    continue
-                if ids:
-                    if first:
-                        yield rows(key, ids[0], ids, True)
+            for h, k, r in zip(b.column("h").to_pylist(), b.column("key").to_pylist(), b.column("row_id").to_pylist(), strict=True):
+                if h != at:
+                    if ids and first:
+                        yield batch(keys, lowest(keys, ids), ids, True)
                         first = False
-                    else:
-                        low += [ids[0]] * len(ids)
+                    elif ids:
+                        low += lowest(keys, ids)
                         out += ids
-                key, ids = k, [r]
+                    at, keys, ids = h, [], []
+                keys.append(k)
+                ids.append(r)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.string()), pa.array(low, pa.int64()), pa.array(out, pa.int64()), pa.array([False] * len(out))], ["key", "low", "row_id", "edge"])
+                yield batch([None] * len(out), low, out, False)
         if ids:
-            yield rows(key, ids[0], ids, True)
+            yield batch(keys, lowest(keys, ids), ids, True)
 
     return ordered.mapInArrow(scan, "key string, low long, row_id long, edge boolean")
 
@@ -66,7 +73,7 @@ def formatting_copies(chat: DataFrame) -> DataFrame:
     """(kept_id, row_id) of every record in chat: kept_id is the smallest row_id among its copies (itself if none).
 
     Runs inside a partition are settled there. A run that crosses a border is settled by the minimum over its
-    edge rows, pre-aggregated, of which there are at most two keys a partition: that table is broadcast (bound:
+    edge rows, pre-aggregated, of which there are at most two hashes a partition: that table is broadcast (bound:
     twice the number of partitions, never the number of rows). Null and empty texts count as empty, so records
     without any letter or digit are copies of each other; ties and repeated rows keep the smallest row_id.
     """
