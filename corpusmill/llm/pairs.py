@@ -19,7 +19,7 @@ REFUSALS = {
     "de": r"\b(ich|mir)\b.*\b(nicht|unmöglich|ablehnen|verweigern)\b.*|\b(kann|darf|muss) (ich|das)\b.*\b(nicht|ablehnen)\b",
     "fr": r"\b(je|m|il)\b.*\b(ne peux|ne puis|impossible|dois refuser|dois décliner|ne suis pas|pas en mesure)\b",
     "es": r"\b(no puedo|no me es posible|no soy capaz|debo rechazar|tengo que rechazar|no estoy en condiciones|debo negarme)\b",
-    "ru": r"\b(я не могу|не могу|вынужден|вынуждена|не в состоянии|не имею возможности|не смогу|отказаться)\b",
+    "ru": r"\b(я не могу|не могу|вынужден|вынуждена|нельзя|не в состоянии|не имею возможности|не смогу|отказаться)\b",
 }
 OPENERS = r"^(i m sorry|i am sorry|sorry|i apologize|apologies|unfortunately|regrettably|as a language model|as an ai|thanks for asking|thank you for asking|i have to|i must|i am|i can|i won|i don|this is something|answering|es tut mir leid|tut mir leid|leider|entschuldigung|als sprachmodell|ich|je suis désolé|désolé|pardon|malheureusement|en tant que|je|il m est|lo siento|lamentablemente|perdón|disculpa|como modelo|no puedo|no me es|debo|к сожалению|извините|простите|прошу прощения|как языковая модель|я|мне)\b"
 CLOSERS = r"hope you understand|anything else|another topic|somebody qualified|someone else|another question|let me know|jemand anderen|verständnis|noch etwas|anderes thema|andere frage|sonst noch|compréhension|autre chose|autre question|autre sujet|quelqu un d autre|algo más|otra cosa|otra pregunta|otro tema|comprensión|otra persona|consulta|другой вопрос|другую тему|понимание|что нибудь ещё|что то ещё|помощь|кому нибудь|специалист"
@@ -86,13 +86,18 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> int:
 
 
 def is_copied(prompt: list[str], answer: list[str], share: float = 0.88) -> bool:
-    """The answer's words are the whole prompt's, in runs, and nothing else."""
-    if len(prompt) < 4 or not share * len(prompt) <= len(answer) <= len(prompt) / share:
+    """The answer's words are the whole prompt's, in runs, and nothing else, once or several times over."""
+    if len(prompt) < 4:
         return False
-    common = sum((Counter(prompt) & Counter(answer)).values())
-    if common < share * max(len(prompt), len(answer)):
+    times = max(1, round(len(answer) / len(prompt)))
+    if not share * len(prompt) <= len(answer) / times <= len(prompt) / share:
         return False
-    return prompt == answer or tiles(prompt, answer) >= share * max(len(prompt), len(answer))
+    asked = Counter(prompt)
+    common = sum(min(n, times * asked[w]) for w, n in Counter(answer).items())
+    if common < share * max(times * len(prompt), len(answer)):
+        return False
+    cut = [round(i * len(answer) / times) for i in range(times + 1)]
+    return all(prompt == x or tiles(prompt, x) >= share * max(len(prompt), len(x)) for x in (answer[i:j] for i, j in zip(cut, cut[1:], strict=False)))
 
 
 def open_structure(text: str) -> list[str]:

@@ -156,6 +156,7 @@ DE = "Der alte Arbeiter folgt dem Weg, und die ganze Gruppe war nicht vor der Ze
         (EN, "I'm sorry, but I can't help with that request. I hope you understand.", "text", "refusal"), (EN, "Leider kann ich diese Frage nicht beantworten.", "text", "refusal"), (EN, "Lo siento, pero no puedo ayudar con eso.", "text", "refusal"),
         (EN, 'The note was short. He answered her: "I am sorry, but I cannot look at the kettle."', "text", None),
         (EN, EN, "text", "copied_question"), (EN, "Q: " + EN.upper(), "label", "copied_question"), ("Copy the words between the marks for them, nothing else. <<" + EN + ">>", EN, "exact", None),
+        (EN, EN + " " + EN, "text", "copied_question"), (EN, "К сожалению, ответить на это мне нельзя.", "text", "refusal"),
         (EN, DE, "text", "other_language"), ("Translate into German: " + EN, DE, "text", None), (EN, "solanar", "label", None),
         (EN, "The cat was on the mat and then the", "text", "truncated"), (EN, "It was one thing. And the crew was there,", "text", "truncated"), (EN, '{"name": "x", "tag":', "json", "truncated"), (EN, '{"name": "x"}', "json", None),
         (EN, "It was so.\n```yaml\na: 1\n```", "text", None), (EN, "It was so.\n```yaml\na: 1", "text", "truncated"), (EN, "- one\n- two\n-", "list", "truncated"), (EN, "1. one\n2. two", "list", None), (EN, "451", "number", None),
