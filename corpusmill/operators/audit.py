@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, unit_interval
+from ..functions.text import fingerprint_text
 from ..sources.conversations import normalized_split
-from .dedup import cross_split, exact_duplicates
+from .dedup import normalized_content
 from .validate import group_key, with_reasons
 
 
@@ -45,9 +46,16 @@ def summary(rows: DataFrame, **split) -> DataFrame:
         has("duplicate_id").alias("duplicate_ids"),
     )
     good = with_split(marked.where(F.size("reasons") == 0), **split)
-    pieces = cross_split(exact_duplicates(good).withColumn("split", F.col("assigned_split")))
-    dup = pieces.agg(F.count("exact_of").alias("exact_duplicate_content_rows"), F.count_if("crosses").alias("cross_split_duplicate_rows"), *[F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in ("train", "val", "test")])
-    return every.crossJoin(dup)  # two single rows
+    h = good.select("line", "content_hash", F.col("assigned_split").alias("split"), F.sha2(fingerprint_text(normalized_content()), 256).alias("text_hash")).persist()
+    exact = h.groupBy("text_hash").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact_duplicate_content_rows"))
+    # of each content, all rows but those in its first row's split
+    parts = h.groupBy("content_hash", "split").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    crosses = parts.groupBy("content_hash").agg((F.sum("n") - F.min_by("n", "line")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cross_split_duplicate_rows"))
+    by_split = h.agg(*[F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in ("train", "val", "test")])
+    one = every
+    for other in (exact, crosses, by_split):  # each a single row
+        one = one.withColumn("_", F.lit(0)).join(other.withColumn("_", F.lit(0)), "_").drop("_")
+    return one
 
 
 def counters(good: DataFrame) -> DataFrame:

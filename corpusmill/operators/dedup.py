@@ -21,15 +21,15 @@ def firsts(rows: DataFrame, key: str, *keep: str, line: str = "line") -> DataFra
     return rows.groupBy(key).agg(F.min(line).alias("first_line"), F.count("*").alias("n"), *[F.min_by(k, line).alias(f"first_{k}") for k in keep])
 
 
-def exact_duplicates(rows: DataFrame, text: Column | None = None) -> DataFrame:
-    """rows with `text_hash` and `exact_of`: the first line of the same words in the same order, null on that line.
+def exact_duplicates(rows: DataFrame, text: Column | None = None, *more: Column) -> DataFrame:
+    """(line, text_hash, exact_of, more): exact_of is the first line of the same words in the same order, null on that line.
 
     Case, punctuation, spacing and field borders don't count; texts without words are equal to each other. Null
-    texts count as empty.
+    texts count as empty. The texts are read once: what is kept and joined are lines and hashes.
     """
-    r = rows.withColumn("text_hash", F.sha2(fingerprint_text(normalized_content() if text is None else text), 256))
-    f = firsts(r, "text_hash").where("n > 1").select("text_hash", "first_line")
-    return r.join(f, "text_hash", "left").withColumn("exact_of", F.when(F.col("line") > F.col("first_line"), F.col("first_line"))).drop("first_line")
+    h = rows.select("line", F.sha2(fingerprint_text(normalized_content() if text is None else text), 256).alias("text_hash"), *more).persist()
+    f = firsts(h.select("line", "text_hash"), "text_hash").where("n > 1").select("text_hash", "first_line")
+    return h.join(f, "text_hash", "left").withColumn("exact_of", F.when(F.col("line") > F.col("first_line"), F.col("first_line"))).drop("first_line")
 
 
 def _keys(bits: int, distance: int) -> list[Column]:
@@ -47,7 +47,7 @@ def _keys(bits: int, distance: int) -> list[Column]:
 
 
 def near_duplicates(rows: DataFrame, distance: int = 3, family: str = "blake2b", fold: str = "casefold", text: Column | None = None) -> DataFrame:
-    """rows with `exact_of`, `fp` and `near_of`: the least line before whose fingerprint differs in at most `distance` bits.
+    """(line, text_hash, exact_of, fp, near_of): near_of is the least line before whose fingerprint differs in at most `distance` bits.
 
     Exact duplicates match nothing and are matched by nothing. Equal fingerprints are settled by an aggregate, so
     only distinct ones meet: an equi-join on bucket keys whose residue checks order and distance in the JVM. No
@@ -56,19 +56,21 @@ def near_duplicates(rows: DataFrame, distance: int = 3, family: str = "blake2b",
     if not 0 <= distance <= 16:
         raise ValueError("distance must be between 0 and 16")
     bits = 64 if family == "blake2b" else 60
-    x = exact_duplicates(rows, text)
-    left = x.where("exact_of is null").withColumn("fp", simhash(family, fold)(normalized_content() if text is None else text))
-    one = firsts(left.select("line", "fp"), "fp").select("fp", "first_line")
+    x = exact_duplicates(rows, text, simhash(family, fold)(normalized_content() if text is None else text).alias("fp"))
+    left = x.where("exact_of is null").select("line", "fp")
+    one = firsts(left, "fp").select("fp", "first_line")
     b = one.select("fp", "first_line", F.posexplode(F.array(*_keys(bits, distance))).alias("k", "v"))
     o = b.select("k", "v", F.col("fp").alias("fp0"), F.col("first_line").alias("l0"))
     met = b.join(o, ["k", "v"]).where(F.col("l0") < F.col("first_line")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= distance)
     before = met.groupBy("fp").agg(F.min("l0").alias("other"))
-    near = left.select("line", "fp").join(one, "fp").join(before, "fp", "left").select("line", "fp", F.least("other", F.when(F.col("line") > F.col("first_line"), F.col("first_line"))).alias("near_of"))
+    settled = one.join(before, "fp", "left")
+    near = x.join(settled, "fp", "left").where("exact_of is null").select("line", F.least("other", F.when(F.col("line") > F.col("first_line"), F.col("first_line"))).alias("near_of"))
     return x.join(near, "line", "left")
 
 
 def cross_split(rows: DataFrame, key: str = "content_hash", split: str = "split") -> DataFrame:
-    """rows with `crosses`: whether the first row of the same content lies in another split."""
+    """rows with `crosses`: whether the first row of the same content lies in another split. Best called on few columns."""
+    rows = rows.persist()
     f = firsts(rows, key, split).where("n > 1").select(key, F.col(f"first_{split}").alias("_first"))
     return rows.join(f, key, "left").withColumn("crosses", F.coalesce(F.col("_first") != F.col(split), F.lit(False))).drop("_first")
 
@@ -84,6 +86,7 @@ def leakage_status(scan: DataFrame, manifest: DataFrame | None = None) -> DataFr
 
     new: the hash was not seen; known_same_split: seen in this split; cross_split_duplicate: seen in others only.
     """
+    scan = scan.persist()  # lines, hashes and splits, which are used three times
     per = firsts(scan.select("line", "hash", "split"), "hash").select("hash", F.col("first_line").alias("_h"))
     both = scan.groupBy("hash", "split").agg(F.min("line").alias("_hs"))
     r = scan.join(per, "hash").join(both, ["hash", "split"])

@@ -122,8 +122,8 @@ _SIMHASH = f"""with {S.REASONS}, f as (select line, {S.words(S.TEXT)} as ws, min
 
 @query(_SIMHASH + " select line, case when exists (select 1 from tok where tok.line = fps.line) then fp else 0 end as fp from fps")
 def dedup_simhash(spark: SparkSession, d: str) -> DataFrame:
-    x = dedup.exact_duplicates(validate.accepted(rows_of(spark, d))).where("exact_of is null")
-    return x.select("line", simhash("sha256", "lower")(dedup.normalized_content()).alias("fp"))
+    x = dedup.exact_duplicates(validate.accepted(rows_of(spark, d)), None, simhash("sha256", "lower")(dedup.normalized_content()).alias("fp"))
+    return x.where("exact_of is null").select("line", "fp")
 
 
 _BANDS = "bands as (select line, fp, unnest([0, 1, 2, 3]) as k, (fp >> (15 * unnest([0, 1, 2, 3]))) & 32767 as v from fps)"
@@ -143,7 +143,7 @@ def dedup_near_blake2b(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {S.SPLIT} select line, content_hash, assigned_split as split, first_value(assigned_split) over (partition by content_hash order by line) <> assigned_split as crosses from placed")
 def dedup_cross_split(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.cross_split(good_of(spark, d).withColumn("split", F.col("assigned_split"))).select("line", "content_hash", "split", "crosses")
+    return dedup.cross_split(good_of(spark, d).select("line", "content_hash", F.col("assigned_split").alias("split"))).select("line", "content_hash", "split", "crosses")
 
 
 @query("select count(*) as rows, count(distinct coalesce(text, '')) as distinct_rows, count(*) - count(distinct coalesce(text, '')) as duplicate_rows, (count(*) - count(distinct coalesce(text, ''))) / count(*) as duplicate_rate from documents")
