@@ -100,3 +100,8 @@ def example_at(spark: SparkSession, path: str, split: str, index: int) -> dict:
 def resume(df: DataFrame, n: int, seed: int, epoch: int, cursor: int, take: int) -> DataFrame:
     """The next `take` examples of an epoch's order from a saved cursor: a filter, the same however often it is asked."""
     return affine_order(df, n, seed, epoch, "pos").where((F.col("cursor") >= cursor) & (F.col("cursor") < cursor + take))
+
+
+def missing_splits(rows: DataFrame, split: str = "split") -> DataFrame:
+    """(split) of train, val and test that have no row: a stream asked for one of them would never end an epoch."""
+    return rows.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string").join(rows.select(F.col(split).alias("split")).distinct(), "split", "left_anti")

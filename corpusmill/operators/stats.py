@@ -132,3 +132,23 @@ def finite(*columns: str) -> Column:
     return ok
 
 
+
+
+def ratio_table(df: DataFrame, candidate: str, baseline: str, *by: str) -> DataFrame:
+    """(by, ratio, average_ratio): candidate over baseline for each setting, and the mean of the ratios; a zero or null baseline has none."""
+    r = df.select(*by, F.when(F.col(baseline) != 0, F.col(candidate) / F.col(baseline)).alias("ratio"))
+    mean = r.agg(F.avg("ratio").alias("average_ratio"))
+    return r.withColumn("_", F.lit(0)).join(F.broadcast(mean.withColumn("_", F.lit(0))), "_").drop("_")  # one row beside each
+
+
+def over_budget(df: DataFrame, limits: Mapping[str, float]) -> DataFrame:
+    """df with `exceeded`: the names of the columns above their limits, in the order given; a null is not above."""
+    return df.withColumn("exceeded", F.array_compact(F.array(*[F.when(F.col(c) > most, F.lit(c)) for c, most in limits.items()])))
+
+
+def external_experiment(pairs: DataFrame, candidate: str, control: str, needed: int, keep: float, kill: float, *by: str) -> DataFrame:
+    """Paired values measured elsewhere to a decision: comparison, then gates on its mean difference and number of pairs."""
+    m = paired_comparison(pairs, candidate, control, *by)
+    bad = pairs.groupBy(*by).agg(F.count_if(~finite(candidate, control)).alias("failures"))
+    m = m.join(bad, list(by)) if by else m.withColumn("_", F.lit(0)).join(bad.withColumn("_", F.lit(0)), "_").drop("_")
+    return gates(m, "oriented_mean_difference", "count", "failures", needed, keep, kill).select(*by, "count", "oriented_mean_difference", "gate_correctness", "gate_seeds", "gate_primary", "decision")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_interval
 from ..functions.text import words
-from ..operators import metrics, runs, stats
+from ..operators import compiled, metrics, runs, stats
 from ..session import table
 from . import sql as S
 from .registry import query
@@ -254,3 +254,35 @@ def registry_outcomes(spark: SparkSession, d: str) -> DataFrame:
 def sweep_plan(spark: SparkSession, d: str) -> DataFrame:
     base = {"id": "base", "model": {"depth": 0, "width": 64}, "train": {"lr": 0.5}}
     return runs.sweep(spark, "grid", base, {"train.lr": [0.1, 0.2], "model.depth": [1, 2, 3]}).drop("config")
+
+
+_BY_USER = "select user_id, sum(value) filter (event_type = 'view') as v, sum(value) filter (event_type = 'click') as c, count(*) as n, sum(value) as t from events group by 1"
+
+
+def _by_user(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("value")))
+    return table(spark, d, "events").groupBy("user_id").agg(of("view").alias("v"), of("click").alias("c"), F.count("*").alias("n"), F.sum("value").alias("t"))
+
+
+@query(f"with m as ({_BY_USER}), r as (select user_id, case when v <> 0 then c / v end as r from m) select user_id, round(r, 6) as ratio, round((select avg(r) from r), 6) as average_ratio from r")
+def stats_ratios(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.ratio_table(_by_user(spark, d), "c", "v", "user_id"))
+
+
+@query(f"with m as ({_BY_USER}) select user_id, array_to_string(list_filter([case when n > 70 then 'n' end, case when t > 3500 then 't' end], lambda x: x is not null), ',') as exceeded from m")
+def stats_budget(spark: SparkSession, d: str) -> DataFrame:
+    return stats.over_budget(_by_user(spark, d), {"n": 70, "t": 3500}).select("user_id", F.array_join("exceeded", ",").alias("exceeded"))
+
+
+@query(
+    f"with m as (select *, user_id % 7 as part from ({_BY_USER})), x as (select part, count(*) filter (c - v is not null) as count, avg(c - v) as d, count(*) filter (c is null or v is null) as failures from m group by 1) select part, count, round(d, 6) as oriented_mean_difference, case when failures = 0 then 'pass' else 'fail' end as gate_correctness, case when count >= 15 then 'pass' else 'fail' end as gate_seeds, case when d >= 30 then 'pass' when d <= -30 then 'fail' else 'inconclusive' end as gate_primary, case when failures > 0 or count < 15 or d <= -30 then 'kill' when d >= 30 then 'keep' else 're_test' end as decision from x"
+)
+def stats_external(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _by_user(spark, d).withColumn("part", F.col("user_id") % 7)
+    return rounded(stats.external_experiment(pairs, "c", "v", 15, 30.0, -30.0, "part"))
+
+
+@query("select split from (values ('train'), ('val'), ('test')) s(split) where split not in (select lower(split) from chat_examples where split is not null and source is null)")
+def compiled_missing_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Splits, by their own spelling, that no row without a source is in."""
+    return compiled.missing_splits(table(spark, d, "chat_examples").where("source is null").select(F.lower("split").alias("split")))
