@@ -102,3 +102,37 @@ def test_generated_tasks_are_solved(spark):
     assert grids.pass_rate(grids.search(t)).first().pass_at_1 == 1.0
     n = corpus.needle_cases(spark, 20, 16, 1).where(F.element_at("prompt", F.array_position("prompt", F.element_at("prompt", -1)).cast("int") + 1) != F.col("answer"))
     assert n.count() == 0
+
+
+def test_task_stream_resumes_from_its_offset(spark, tmp_path):
+    from corpusmill.operators.tasks import answer
+    from corpusmill.streaming import events
+
+    def run(most):
+        s = events.task_stream(spark, task="sorting", length="5", seed="3", step="10", most=str(most)).withColumn("answer", answer("sorting", "prompt"))
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
+        try:
+            for _ in range(120):
+                done = spark.read.schema("example bigint, task string, prompt array<int>, answer array<int>").parquet(str(tmp_path / "o")).count() if (tmp_path / "o" / "_spark_metadata").exists() else 0
+                if done >= most:
+                    break
+                __import__("time").sleep(0.5)
+        finally:
+            q.stop()
+        return spark.read.parquet(str(tmp_path / "o")).collect()
+
+    assert sorted(r.example for r in run(20)) == list(range(20))
+    rows = run(35)
+    assert sorted(r.example for r in rows) == list(range(35)) and all(r.answer == sorted(r.prompt) for r in rows)
+
+
+def test_windows_stream_as_in_batch(spark, tmp_path):
+    from corpusmill.streaming import events
+
+    rows = spark.sql("select timestamp_seconds(1700000000 + id * 97) as ts, id % 3 as k, cast(id as double) as v from range(200)")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = events.windowed(stream, "ts", "v", "k").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    want = events.windowed(rows, "ts", "v", "k")
+    assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, want.collect()))
