@@ -168,3 +168,7 @@ SQL |= {
     "p7_coverage": f"select doc_id, {_BYTES.format('text')}::bigint as tokens from documents where coalesce(text, '') <> ''",
     "p8_found": "with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as ws from documents), g as (select distinct doc_id, array_to_string(list_slice(ws, i, i + 11), ' ') as gram from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12)), q as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as ws from eval_items), p as (select distinct item_id, array_to_string(list_slice(ws, i, i + 11), ' ') as gram from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from q where len(ws) >= 12)) select distinct doc_id, item_id from g join p using (gram)",
 }
+SQL |= {
+    "p1_found": f"with r as (select row_id, {_SPLIT.format('split')} as s, list_distinct(regexp_extract_all(lower(coalesce(user_text, '') || chr(10) || coalesce(assistant_text, '')), '[\\p{{L}}\\p{{N}}]+')) as ws from chat_examples), w as (select row_id, s, len(ws) as n, unnest(ws) as w from r where s is not null) select least(e.row_id, t.row_id) as row_lo, greatest(e.row_id, t.row_id) as row_hi from w e join w t on e.w = t.w and e.s <> 'train' and t.s = 'train' group by e.row_id, t.row_id having 10 * count(*) >= 7 * (any_value(e.n) + any_value(t.n) - count(*))",
+    "p8_clean": f"select doc_id, lang, source, topic, n_chars from documents where doc_id not in (select doc_id from ({SQL['p8_found']}))",
+}
