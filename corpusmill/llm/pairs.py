@@ -14,20 +14,27 @@ from .wordsets import WORD
 
 # ---- fixed values: marks for "no answer", and the phrases of refusals by language -------------------------------
 NO_ANSWER = {"", "na", "n a", "none", "null", "nil", "nan", "todo", "tbd", "empty", "no answer", "no response", "undefined", "missing", "blank"}
-REFUSALS = {
-    "en": r"\b(i|we|this|that|answering|it)\b.*\b(cannot|can not|can t|could not|unable|not able|won t|will not|decline|refuse|not allowed|not permitted|don t have the ability|do not have the ability|outside what i|cannot do|not something i)\b",
-    "de": r"\b(ich|mir)\b.*\b(nicht|unmöglich|ablehnen|verweigern)\b.*|\b(kann|darf|muss) (ich|das)\b.*\b(nicht|ablehnen)\b",
-    "fr": r"\b(je|m|il)\b.*\b(ne peux|ne puis|impossible|dois refuser|dois décliner|ne suis pas|pas en mesure)\b",
-    "es": r"\b(no puedo|no me es posible|no soy capaz|debo rechazar|tengo que rechazar|no estoy en condiciones|debo negarme)\b",
-    "ru": r"\b(я не могу|не могу|вынужден|вынуждена|нельзя|не в состоянии|не имею возможности|не смогу|отказаться)\b",
-}
+#: Who speaks (None: nobody need) and what declines after it.
+REFUSALS = [
+    (r"\b(i|we|this|that|answering|it)\b", r"\b(cannot|can not|can t|could not|unable|not able|won t|will not|decline|refuse|not allowed|not permitted|don t have the ability|do not have the ability|outside what i|cannot do|not something i)\b"),
+    (r"\b(ich|mir)\b", r"\b((kann|könnte|darf|möchte|will|werde|bin|ist)\b.*\bnicht|nicht\b.*\b(kann|könnte|darf|möchte|will|werde|bin|ist|möglich|beantworten|helfen)|unmöglich|ablehnen|verweigern)\b"),
+    (r"\b(kann|darf|muss) (ich|das)\b", r"\b(nicht|ablehnen)\b"),
+    (r"\b(je|m|il)\b", r"\b(ne peux|ne puis|impossible|dois refuser|dois décliner|ne suis pas (en mesure|capable|autorisé\w*|habilité\w*)|pas en mesure)\b"),
+    (None, r"\b(no puedo|no me es posible|no soy capaz|debo rechazar|tengo que rechazar|no estoy en condiciones|debo negarme)\b"),
+    (None, r"\b(я не могу|не могу|вынужден|вынуждена|нельзя|не в состоянии|не имею возможности|не смогу|отказаться)\b"),
+]
+#: Apologies, thanks and what the speaker is; polite at any length and place.
+COURTESY = r"^(i m (so |very |truly )?sorry|i am (so |very |truly )?sorry|sorry|i apologize|apologies|thanks|thank you|i appreciate|i understand|as an ai|as a language model|i am (only |just )?(an ai|a language model)|es tut mir leid|tut mir leid|entschuldigung|danke|vielen dank|ich verstehe|als sprachmodell|ich bin (nur )?ein sprachmodell|je suis désolée?|désolée?|pardon|merci|je comprends|en tant que modèle|lo siento|perdón|disculpa|gracias|entiendo|como modelo|извините|простите|прошу прощения|спасибо|я понимаю|как языковая модель)\b"
+#: Turns from declining to an answer.
+GIVES = r"\b(here is|here s|here are|here comes|the answer is|the result is|hier ist|hier sind|die antwort (ist|lautet)|voici|la réponse est|aquí está|aquí tienes|la respuesta es|вот|ответ такой)\b"
 OPENERS = r"^(i m sorry|i am sorry|sorry|i apologize|apologies|unfortunately|regrettably|as a language model|as an ai|thanks for asking|thank you for asking|i have to|i must|i am|i can|i won|i don|this is something|answering|es tut mir leid|tut mir leid|leider|entschuldigung|als sprachmodell|ich|je suis désolé|désolé|pardon|malheureusement|en tant que|je|il m est|lo siento|lamentablemente|perdón|disculpa|como modelo|no puedo|no me es|debo|к сожалению|извините|простите|прошу прощения|как языковая модель|я|мне)\b"
 CLOSERS = r"hope you understand|anything else|another topic|somebody qualified|someone else|another question|let me know|jemand anderen|verständnis|noch etwas|anderes thema|andere frage|sonst noch|compréhension|autre chose|autre question|autre sujet|quelqu un d autre|algo más|otra cosa|otra pregunta|otro tema|comprensión|otra persona|consulta|другой вопрос|другую тему|понимание|что нибудь ещё|что то ещё|помощь|кому нибудь|специалист"
 OTHER_LANGUAGE = r"\b(in|into|to|auf|ins|en|al|a|на|по)\s+(the\s+)?(english|german|french|spanish|russian|englisch\w*|deutsch\w*|französisch\w*|spanisch\w*|russisch\w*|anglais|allemand|français|espagnol|russe|inglés|alemán|francés|español|ruso|английск\w*|немецк\w*|французск\w*|испанск\w*|русск\w*|английски|немецки|французски|испански|русски)\b"
 # -------------------------------------------------------------------------------------------------------------------
-_REFUSE = [re.compile(p) for p in REFUSALS.values()]
+_REFUSE = [(who and re.compile(who), re.compile(what)) for who, what in REFUSALS]
 _OPEN, _CLOSE, _OTHER = re.compile(OPENERS), re.compile(CLOSERS), re.compile(OTHER_LANGUAGE, re.IGNORECASE)
-_SENTENCE = re.compile(r"[^.!?…]+")
+_COURTESY, _GIVES = re.compile(COURTESY), re.compile(GIVES)
+_SENTENCE_END = re.compile(r"[.!?…。]+|```|\n\s*\n|\n(?=[ \t]*(?:[-*•+–]|\d+[.)])\s)")
 _STRUCTURE = re.compile(r"```|[()\[\]{}«»„“”]")
 _CLOSING = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“", "“": "„"}
 _BLANK = " \t\r\n\v\f\u00a0\u200b\u200c\u200d\u2009\u2028\u2060\ufeff"
@@ -38,21 +45,34 @@ def is_empty(answer: str) -> bool:
     return " ".join(WORD.findall(answer.lower())) in NO_ANSWER if len(answer) < 64 else not WORD.search(answer)
 
 
+def sentences(text: str) -> Iterator[str]:
+    at = 0
+    for m in _SENTENCE_END.finditer(text):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
+def declines(sentence: str) -> bool:
+    return bool(_OPEN.search(sentence)) and any((m := who.search(sentence) if who else True) and what.search(sentence, m.end() if who else 0) for who, what in _REFUSE)
+
+
 def is_refusal(answer: str) -> bool:
-    """Every sentence declines, apologises or closes politely, and at least one declines."""
-    if len(answer) > 400:
-        return False
-    declines = 0
-    for s in _SENTENCE.findall(answer):
-        words = WORD.findall(s.lower())
-        if not words:
+    """Every sentence declines, apologises or closes politely, at whatever length, and at least one declines.
+
+    The first sentence that gives something ends the reading.
+    """
+    declined = False
+    for s in sentences(answer):
+        if not (s := " ".join(WORD.findall(s.lower()))):
             continue
-        s = " ".join(words)
-        if len(words) <= 22 and _OPEN.search(s) and any(p.search(s) for p in _REFUSE):
-            declines += 1
-        elif not (len(words) <= 12 and (_CLOSE.search(s) or (declines == 0 and _OPEN.search(s) and len(words) <= 5))):
+        if _GIVES.search(s):
+            return False
+        if declines(s):
+            declined = True
+        elif not (_COURTESY.search(s) or _CLOSE.search(s)):
             return False
-    return declines > 0
+    return declined
 
 
 def tiles(a: list[str], b: list[str], least: int = 2) -> int:

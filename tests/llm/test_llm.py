@@ -167,6 +167,18 @@ def test_defects(guess, prompt, answer, form, want):
     assert pairs.defect(prompt, answer, "en", form, None, guess) == want
 
 
+def test_refusals_of_any_length(guess):
+    long = "I'm sorry, but after reading your request with care and thinking about it for quite a while I have to say that I cannot help you with that particular question at this time. "
+    more = "Thank you so much for asking such a thoughtful question about the kettle, and for the patience that you have shown. If there is anything else that you would like to talk about today, please let me know and I will gladly do my best. "
+    german = "Leider muss ich Ihnen nach langem Nachdenken über die Frage und über alles, was damit zusammenhängt, mitteilen, dass ich sie heute und auch in Zukunft nicht beantworten kann."
+    assert len(long) < 400 < len(long + more + more)
+    for x in (long, german, long + more, more + long, long + more * 50):
+        assert pairs.defect(EN, x, "en", "text", None, guess) == "refusal"
+    for x in (long + EN, long + more + "The kettle holds two litres.", long[:-2] + ", but here is what the note says about the kettle.", "I cannot list all\n- the crew\n- the path", "I cannot run it, but this does:\n```python\nprint(1)\n```"):
+        assert pairs.defect(EN, x, "en", "text", None, guess) != "refusal"
+    assert not pairs.is_refusal("ich " * 300_000)
+
+
 def test_defective_pairs_over_a_table(spark, chat):
     df = chat([(1, None, EN, None), (2, None, EN, "It was fine, and so was the crew. " * 20_000), (3, None, None, "ok")])
     got = {r.row_id: r.defect for r in pairs.defective_pairs(df, table(spark, SMALL, "common_words")).collect()}
