@@ -29,6 +29,9 @@ COURTESY = r"^(i m (so |very |truly )?sorry|i am (so |very |truly )?sorry|sorry|
 GIVES = r"\b(here is|here s|here are|here comes|the answer is|the result is|hier ist|hier sind|die antwort (ist|lautet)|voici|la réponse est|aquí está|aquí tienes|la respuesta es|вот|ответ такой)\b"
 OPENERS = r"^(i m sorry|i am sorry|sorry|i apologize|apologies|unfortunately|regrettably|as a language model|as an ai|thanks for asking|thank you for asking|i have to|i must|i am|i can|i won|i don|this is something|answering|es tut mir leid|tut mir leid|leider|entschuldigung|als sprachmodell|ich|je suis désolé|désolé|pardon|malheureusement|en tant que|je|il m est|lo siento|lamentablemente|perdón|disculpa|como modelo|no puedo|no me es|debo|к сожалению|извините|простите|прошу прощения|как языковая модель|я|мне)\b"
 CLOSERS = r"hope you understand|anything else|another topic|somebody qualified|someone else|another question|let me know|jemand anderen|verständnis|noch etwas|anderes thema|andere frage|sonst noch|compréhension|autre chose|autre question|autre sujet|quelqu un d autre|algo más|otra cosa|otra pregunta|otro tema|comprensión|otra persona|consulta|другой вопрос|другую тему|понимание|что нибудь ещё|что то ещё|помощь|кому нибудь|специалист"
+#: Words that put the question, and those that stand before a question that is given back.
+ASKING = frozenset("what which who whom whose where when why how was welche welcher welches wer wen wem wo wann warum wie que quel quelle quels quelles qui où quand pourquoi comment combien qué cuál cuáles quién dónde cuándo cómo cuánto что какой какая какое какие кто где когда почему как сколько".split())
+LABELS = frozenset({"q", "question", "prompt", "frage", "pregunta", "вопрос"})
 OTHER_LANGUAGE = r"\b(in|into|to|auf|ins|en|al|a|на|по)\s+(the\s+)?(english|german|french|spanish|russian|englisch\w*|deutsch\w*|französisch\w*|spanisch\w*|russisch\w*|anglais|allemand|français|espagnol|russe|inglés|alemán|francés|español|ruso|английск\w*|немецк\w*|французск\w*|испанск\w*|русск\w*|английски|немецки|французски|испански|русски)\b"
 # -------------------------------------------------------------------------------------------------------------------
 _REFUSE = [(who and re.compile(who), re.compile(what)) for who, what in REFUSALS]
@@ -105,19 +108,44 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> int:
             return covered
 
 
+def slightly_altered(prompt: list[str], answer: list[str]) -> bool:
+    """One word left out, doubled, exchanged with its neighbour or altered; a question word that is replaced is answered."""
+    i, n, m = 0, len(prompt), len(answer)
+    if abs(n - m) > 1:
+        return False
+    while i < min(n, m) and prompt[i] == answer[i]:
+        i += 1
+    j = 0
+    while j < min(n, m) - i and prompt[n - 1 - j] == answer[m - 1 - j]:
+        j += 1
+    x, y = prompt[i : n - j], answer[i : m - j]
+    if len(x) == len(y) == 1:
+        return x[0] not in ASKING or y[0][:1] == x[0][:1]
+    if not x and len(y) == 1:
+        return y[0] in prompt[max(0, i - 1) : i + 1]
+    return not y or len(x) == 2 and x == y[::-1]
+
+
 def is_copied(prompt: list[str], answer: list[str], share: float = 0.88) -> bool:
-    """The answer's words are the whole prompt's, in runs, and nothing else, once or several times over."""
-    if len(prompt) < 4:
+    """The answer's words are the whole prompt's, in runs, and nothing else, once or several times over.
+
+    An exact copy counts at any length. One word may be altered from four words on, where it is a small part.
+    """
+    if not prompt or not answer:
         return False
-    times = max(1, round(len(answer) / len(prompt)))
-    if not share * len(prompt) <= len(answer) / times <= len(prompt) / share:
+    if answer[0] in LABELS and prompt[0] != answer[0]:
+        answer = answer[1:]
+    n, times = len(prompt), max(1, round(len(answer) / len(prompt)))
+    if len(answer) == times * n and answer == prompt * times:
+        return True
+    if n < 4 or not min(share * n, n - 1) <= len(answer) / times <= max(n / share, n + 1):
         return False
-    asked = Counter(prompt)
+    asked, most = Counter(prompt), max(times * n, len(answer))
     common = sum(min(n, times * asked[w]) for w, n in Counter(answer).items())
-    if common < share * max(times * len(prompt), len(answer)):
+    if common < min(share * most, most - times):
         return False
     cut = [round(i * len(answer) / times) for i in range(times + 1)]
-    return all(prompt == x or tiles(prompt, x) >= share * max(len(prompt), len(x)) for x in (answer[i:j] for i, j in zip(cut, cut[1:], strict=False)))
+    return all(prompt == x or slightly_altered(prompt, x) or tiles(prompt, x) >= share * max(n, len(x)) for x in (answer[i:j] for i, j in zip(cut, cut[1:], strict=False)))
 
 
 def open_structure(text: str) -> list[str]:

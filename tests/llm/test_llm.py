@@ -179,6 +179,20 @@ def test_refusals_of_any_length(guess):
     assert not pairs.is_refusal("ich " * 300_000)
 
 
+@pytest.mark.parametrize(
+    "prompt,answer,want",
+    [
+        ("Who are you?", "who are you", True), ("Why?", "Q: why", True), ("Who are you?", "Who are you? Who are you?", True), ("Who are you?", "Who are they?", False), ("Who?", "me", False), ("", "", False), ("Why?", "Q", False),
+        ("Name the old red kettle", "Name the old blue kettle", True), ("Name the colour of the old red kettle", "Name the color of the old red kettle", True), ("Name the colour of the old red kettle", "Name the colour of the red kettle", True),
+        ("Name the old kettle", "Name the the old kettle", True), ("Name the old kettle", "the Name old kettle", True), ("Name the old kettle", "Name an odd kettle", False),
+        ("What is the capital of France?", "Paris is the capital of France.", False), ("What is the capital of France?", "Whats is the capital of France?", True), ("The capital of France is", "The capital of France is Paris", False),
+    ],
+)
+def test_short_prompts_given_back(prompt, answer, want):
+    words = lambda x: WORD.findall(x.lower())
+    assert pairs.is_copied(words(prompt), words(answer)) == want
+
+
 def test_defective_pairs_over_a_table(spark, chat):
     df = chat([(1, None, EN, None), (2, None, EN, "It was fine, and so was the crew. " * 20_000), (3, None, None, "ok")])
     got = {r.row_id: r.defect for r in pairs.defective_pairs(df, table(spark, SMALL, "common_words")).collect()}
