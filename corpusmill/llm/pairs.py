@@ -38,8 +38,13 @@ _REFUSE = [(who and re.compile(who), re.compile(what)) for who, what in REFUSALS
 _OPEN, _CLOSE, _OTHER = re.compile(OPENERS), re.compile(CLOSERS), re.compile(OTHER_LANGUAGE, re.IGNORECASE)
 _COURTESY, _GIVES = re.compile(COURTESY), re.compile(GIVES)
 _SENTENCE_END = re.compile(r"[.!?…。]+|```|\n\s*\n|\n(?=[ \t]*(?:[-*•+–]|\d+[.)])\s)")
-_STRUCTURE = re.compile(r"```|[()\[\]{}«»„“”]")
-_CLOSING = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“", "“": "„"}
+_STRUCTURE = re.compile(r"""```|`|\\.|[()\[\]{}«»„“”"]|\*\*+|</?[a-zA-Z][\w-]*(?:\s[^<>\n]*)?/?>|\n[ \t]*\n|\n(?=[ \t]*(?:[-*•+–]|\d+[.)])\s)""")
+_CLOSING = {")": "(", "]": "[", "}": "{"}
+#: Marks that close each mark; „…“, “…”, «…», »…« and ”…” are all in use.
+_QUOTES = {"„": "“”\"", "“": "”\"", "«": "»", "»": "«»", "”": "”\"", '"': "”“"}
+#: Tags that HTML wants closed. Others count if the text itself closes one of that name.
+_TAGS = frozenset("a abbr article b blockquote button code details div em footer form h1 h2 h3 h4 h5 h6 header i kbd main mark nav ol pre s script section select small span strong style sub summary sup table textarea u ul".split())
+_CUT_TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)?(?:\s[^<>\n]*)?$")
 _BLANK = " \t\r\n\v\f\u00a0\u200b\u200c\u200d\u2009\u2028\u2060\ufeff"
 _ITEM = re.compile(r"^\s*(?:[-*•+–]|\d+[.)]|\[[ x]\])\s*")
 
@@ -149,36 +154,97 @@ def is_copied(prompt: list[str], answer: list[str], share: float = 0.88) -> bool
 
 
 def open_structure(text: str) -> list[str]:
-    """What a pushdown parser over fences, brackets and paired quotation marks has left open at the end."""
+    """What a pushdown parser over fences, brackets, quotations, ** emphasis, inline code and tags has left open at the end.
+
+    Inside code only what ends it and brackets count. Emphasis and inline code end with their paragraph or list entry,
+    open or not. A quotation mark repeated at the start of a paragraph goes on with the quotation; a straight one after
+    a digit is a unit. Single * and _, and single quotation marks, aren't parsed: they are bullets, names, apostrophes.
+    """
     stack: list[str] = []
+    opened: Counter[str] = Counter()
+    closed: set[str] | None = None
+
+    def push(mark: str) -> None:
+        stack.append(mark)
+        opened[mark] += 1
+
+    def close(mark: str) -> None:
+        while opened[mark]:
+            opened[x := stack.pop()] -= 1
+            if x == mark:
+                return
+
     for m in _STRUCTURE.finditer(text):
-        t = m.group()
+        t, i, j = m.group(), m.start(), m.end()
+        before, after = text[i - 1 : i], text[j : j + 1]
         if t == "```":
-            if "```" in stack:
-                del stack[stack.index("```") :]
+            if opened[t]:
+                close(t)
             else:
-                stack.append(t)
-        elif t in _CLOSING and _CLOSING[t] in stack:
-            del stack[len(stack) - 1 - stack[::-1].index(_CLOSING[t]) :]
-        elif t in "([{«“„" and "```" not in stack or t in "([{":
-            stack.append(t)
+                push(t)
+        elif t[0] == "\n":
+            for mark in ("`", "**"):
+                if opened[mark] and not opened["```"]:
+                    stack.remove(mark)
+                    opened[mark] -= 1
+        elif t == "`" and not opened["```"]:
+            if opened[t]:
+                close(t)
+            elif not before.isalnum() and after.strip():
+                push(t)
+        elif opened["`"] and not opened["```"] or t[0] == "\\":
+            continue
+        elif t in _CLOSING:
+            close(_CLOSING[t])
+        elif t in "([{":
+            push(t)
+        elif opened["```"]:
+            continue
+        elif t == '"' and opened[t]:
+            if not (before == "\n" and after.isalnum()):
+                close(t)
+        elif t in "«»„“”\"":
+            ending = t != '"' or before.strip() and not after.isalnum()
+            if ending and any(opened[q] for q in _QUOTES if t in _QUOTES[q]) and (t != "“" or opened["„"] or before.strip() and not after.isalnum()):
+                close(next(q for q in reversed(stack) if t in _QUOTES.get(q, "")))
+            elif t == '"':
+                if not before.isalnum() and before not in ('"', ".", "!", "?", "…", "%", "′") and not (after.isspace() and before.strip()):
+                    push(t)
+            elif not opened[t] and (t in "«„“" or after.isalnum() and not before.isalnum()):
+                push(t)
+        elif t[:2] == "**":
+            if opened["**"] and before.strip():
+                close("**")
+            elif len(t) <= 3 and not before.isalnum() and after.strip():
+                push("**")
+        elif t[0] == "<" and not t.endswith("/>"):
+            name = re.match(r"</?([\w-]+)", t).group(1).lower()
+            if t[1] == "/":
+                close(f"<{name}")
+            else:
+                if closed is None:
+                    closed = {x.lower() for x in re.findall(r"</([a-zA-Z][\w-]*)", text)}
+                if name in _TAGS or name in closed:
+                    push(f"<{name}")
     return stack
 
 
 def is_truncated(prompt: str, answer: str, form: str | None) -> bool:
     text = answer.strip(_BLANK)
     left = open_structure(text)
-    if "```" in left or "(" in left or "[" in left or "{" in left:
+    if left:
+        return True
+    if (m := _CUT_TAG.search(text[text.rfind("<") :] if "<" in text else "")) and (m.group(1) or (m.group(2) or "").lower() in _TAGS):
         return True
     if text.endswith("```") and "```" in text[:-3]:
         return False
     if text.startswith("{"):
         return not text.endswith("}")
-    end = text.rstrip("*_`\"'”“’»~" + _BLANK)
+    end = text.rstrip("*_`\"'”“’«»~" + _BLANK)
     if not end:
         return False
     last = end[-1]
-    if last in ",;:-–—([{«" or end.endswith((" and", " or")):
+    if last in ",;:-–—([{" or end.endswith((" and", " or")):
         return True
     if form in ("label", "number", "json"):
         return False

@@ -193,6 +193,23 @@ def test_short_prompts_given_back(prompt, answer, want):
     assert pairs.is_copied(words(prompt), words(answer)) == want
 
 
+@pytest.mark.parametrize(
+    "answer,form,want",
+    [
+        ("Er sagte: „Die Gruppe war da. Der Weg war alt.", "text", True), ("Er sagte: „Die Gruppe war da.“", "text", False), ("Il dit : « Le groupe est là.", "text", True), ("Il dit : « Le groupe est là. »", "text", False), ("Er sagte: »Die Gruppe war da.", "text", True), ("Er sagte: »Die Gruppe war da.«", "text", False),
+        ("“It was so. And then.", "text", True), ("“It was so.\n\n“And then.”", "text", False), ("“red", "label", True), ("«4", "number", True), ('"x. y', "json", True), ('Sie sagte: „Es war so."', "text", False), ("Er sagte: »So.« Sie sagte: »Es war", "label", True), ('{"a": "x \\" y", "b": [1]}', "json", False), ('"It was so. And then.', "text", True), ('"It was so." He left.', "text", False),
+        ('A 5" pipe and a 6" pipe.', "text", False), ('"It was so.\n"And then."', "text", False), ('He said "yes" and ("no").', "text", False), ("Run `ls -l. It is so.", "text", True), ("Run `ls (-l` first.", "text", False), ("It was **so old. And.", "text", True), ("It was **so** old, 2**3 = 8.", "text", False), ("- **a\n- b.\n- c.", "list", False),
+        ("<b>It was so.", "text", True), ("<b>It was so.</b><br>", "text", False), ("Use <name> as the key.", "text", False), ("<item>It was so.</item><item>And then.", "text", True), ("It was <b>so</b> old.</", "text", True), ("It was <span class", "label", True), ("If a < b it was so.", "text", False), ("```\na `b \"c\n```", "text", False),
+    ],
+)
+def test_breaks_off_inside_quotations_and_markup(answer, form, want):
+    assert pairs.is_truncated(EN, answer, form) == want
+
+
+def test_many_open_marks_cost_linear_time():
+    assert len(pairs.open_structure("(" * 300_000)) == 300_000 and pairs.open_structure("(" * 200_000 + ")" * 200_000) == []
+
+
 def test_defective_pairs_over_a_table(spark, chat):
     df = chat([(1, None, EN, None), (2, None, EN, "It was fine, and so was the crew. " * 20_000), (3, None, None, "ok")])
     got = {r.row_id: r.defect for r in pairs.defective_pairs(df, table(spark, SMALL, "common_words")).collect()}
