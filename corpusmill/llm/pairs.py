@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +35,7 @@ ASKING = frozenset("what which who whom whose where when why how was welche welc
 LABELS = frozenset({"q", "question", "prompt", "frage", "pregunta", "вопрос"})
 OTHER_LANGUAGE = r"\b(in|into|to|auf|ins|en|al|a|на|по)\s+(the\s+)?(english|german|french|spanish|russian|englisch\w*|deutsch\w*|französisch\w*|spanisch\w*|russisch\w*|anglais|allemand|français|espagnol|russe|inglés|alemán|francés|español|ruso|английск\w*|немецк\w*|французск\w*|испанск\w*|русск\w*|английски|немецки|французски|испански|русски)\b"
 # -------------------------------------------------------------------------------------------------------------------
+_MARK_WORDS = max(len(x.split()) for x in NO_ANSWER)
 _REFUSE = [(who and re.compile(who), re.compile(what)) for who, what in REFUSALS]
 _OPEN, _CLOSE, _OTHER = re.compile(OPENERS), re.compile(CLOSERS), re.compile(OTHER_LANGUAGE, re.IGNORECASE)
 _COURTESY, _GIVES = re.compile(COURTESY), re.compile(GIVES)
@@ -50,7 +52,8 @@ _ITEM = re.compile(r"^\s*(?:[-*•+–]|\d+[.)]|\[[ x]\])\s*")
 
 
 def is_empty(answer: str) -> bool:
-    return " ".join(WORD.findall(answer.lower())) in NO_ANSWER if len(answer) < 64 else not WORD.search(answer)
+    """No words, or those of one mark for no answer, however much stands around them; no word after the longest mark's is read."""
+    return " ".join(m.group() for m in islice(WORD.finditer(answer.lower()), _MARK_WORDS + 1)) in NO_ANSWER
 
 
 def sentences(text: str) -> Iterator[str]:

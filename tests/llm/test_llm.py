@@ -167,6 +167,13 @@ def test_defects(guess, prompt, answer, form, want):
     assert pairs.defect(prompt, answer, "en", form, None, guess) == want
 
 
+def test_padded_marks_are_empty():
+    for x in ("N/A", "none", "No answer", "…", "TODO"):
+        for pad in (" " * 80, "\n" * 100, "-" * 70, "\u200b" * 64):
+            assert pairs.is_empty(x + pad) and pairs.is_empty(pad + x + pad)
+    assert not pairs.is_empty("No answer is right here." + " " * 80) and not pairs.is_empty("none " * 20)
+
+
 def test_refusals_of_any_length(guess):
     long = "I'm sorry, but after reading your request with care and thinking about it for quite a while I have to say that I cannot help you with that particular question at this time. "
     more = "Thank you so much for asking such a thoughtful question about the kettle, and for the patience that you have shown. If there is anything else that you would like to talk about today, please let me know and I will gladly do my best. "
