@@ -120,11 +120,12 @@ def kind_of(text: str | None, words: list[str]) -> str | None:
     if coded * 2 > len(text.strip()):
         return "junk"
     if len(words) >= 12 and 2 * len(set(words)) < len(words):
-        pairs = Counter(zip(words, words[1:], strict=False))
-        if len(pairs) <= 0.25 * (len(words) - 1) and len(pairs) < 200:
+        # a long list of few values has few pairs too, but doesn't repeat longer runs
+        pairs = len(set(zip(words, words[1:], strict=False)))
+        if pairs <= 0.25 * (len(words) - 1) and 2 * len(set(zip(*(words[i:] for i in range(8)), strict=False))) <= len(words) - 7:
             return "junk"
     n = len(lines)
-    if n >= 2 and sum(bool(_LOG.search(x[:200])) for x in lines) * 2 > n:
+    if n >= 2 and sum(bool(_LOG.search(x)) for x in lines) * 2 > n:
         return "junk"
     if n <= 2:
         marks = sum(map(bool, map(_MARK.match, lines)))

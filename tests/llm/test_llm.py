@@ -355,6 +355,18 @@ def test_shapes(text, want):
     assert quality.kind_of(text, WORD.findall((text or "").lower())) == want
 
 
+def test_long_log_lines_and_long_repeated_blocks_are_junk():
+    kind = lambda x: quality.kind_of(x, WORD.findall(x.lower()))
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(LEXICON) + rng.choice(LEXICON) for _ in range(n))
+    assert kind("\n".join(f'{{"note": "{say(40)}", "level": "ERROR"}}' for _ in range(12))) == "junk"
+    assert kind("\n".join(f"[train] {say(60)} step {i}" for i in range(12))) == "junk"
+    for block in (say(300), "\n".join(f"- {say(3)}" for _ in range(120))):
+        assert len(set(zip(block.split(), block.split()[1:]))) > 200 and kind("\n".join([block] * 9)) == "junk"
+    few = [f"w{chr(97 + i)}" for i in range(26)]
+    assert kind("\n".join(f"{rng.choice(few)}: {rng.choice(few)}" for _ in range(4000))) == "list"
+
+
 def test_quality_tells_prose_from_the_rest(spark):
     rng = random.Random(6)
     vocab = LEXICON + "path crew door book trip road house river".split()
