@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ Merge = tuple[int, int]
 FIRST = 261
 #: Distinct texts whose token sequences the driver holds while it trains; more are counted in tasks.
 DRIVER_TEXTS = 200_000
+#: Merges that tasks replay on the kept sequences before those are kept anew; changes no result.
+REPLAY = 6
+#: Vocabularies of more merges are applied text by text, others to a batch at once; both give the same ids.
+BATCH_MERGES = 256
 
 
 def corpus(rows: DataFrame, byte_limit: int | None = None) -> DataFrame:
@@ -62,45 +67,131 @@ def train(texts: DataFrame, vocab_size: int, min_frequency: int = 2, text: str =
     head = distinct.limit(DRIVER_TEXTS + 1).collect()
     merges: list[Merge] = []
     if len(head) > DRIVER_TEXTS:
-        distinct = distinct.persist()
+        del head
+        tasks = _Tasks(distinct, text)
         while len(merges) < vocab_size - FIRST:
-            best = _best_in_tasks(distinct, text, merges)
+            best = tasks.best(merges)
             if best is None:
                 return merges, "no_pairs"
             if best[0] < min_frequency:
                 return merges, "min_frequency_not_met"
             merges.append(best[1])
         return merges, "target_vocab_reached"
-    seqs = [(list(r[0].encode()), r.n) for r in head]
+    groups = _grouped([r[0] for r in head], [r.n for r in head])
+    del head
     while len(merges) < vocab_size - FIRST:
-        pairs: Counter[Merge] = Counter()
-        for seq, n in seqs:
-            for p in zip(seq, seq[1:], strict=False):
-                pairs[p] += n
-        if not pairs:
+        best = _best(_counted(groups, FIRST + len(merges)))
+        if best is None:
             return merges, "no_pairs"
-        pair = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[pair] < min_frequency:
+        if best[0] < min_frequency:
             return merges, "min_frequency_not_met"
-        new = FIRST + len(merges)
-        merges.append(pair)
-        seqs = [(_merge(s, pair, new), n) for s, n in seqs]
+        merges.append(best[1])
+        groups = [(n, _merge_all(x, best[1], FIRST + len(merges) - 1)) for n, x in groups]
     return merges, "target_vocab_reached"
 
 
-def _best_in_tasks(distinct: DataFrame, text: str, merges: list[Merge]) -> tuple[int, Merge] | None:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = {m: i for i, m in enumerate(merges)}
-        pairs: Counter[Merge] = Counter()
-        for b in batches:
-            for t, n in zip(b.column(text).to_pylist(), b.column("n").to_pylist(), strict=True):
-                seq = encode_ids(t, ranks)
-                for p in zip(seq, seq[1:], strict=False):
-                    pairs[p] += n
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], ["a", "b", "n"])
+def _flat(texts: list[str]) -> np.ndarray:
+    """Bytes of all texts in one array, each text followed by -1."""
+    coded = [t.encode() for t in texts]
+    out = np.full(sum(map(len, coded)) + len(coded), -1, np.int32)
+    ends = np.cumsum([len(c) + 1 for c in coded]) - 1
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = np.frombuffer(b"".join(coded), np.uint8)
+    return out
+
 
-    r = distinct.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-    return None if r is None else (r.n, (r.a, r.b))
+def _grouped(texts: list[str], numbers: list[int]) -> list[tuple[int, np.ndarray]]:
+    """The texts in flat arrays by how often each occurs."""
+    by: dict[int, list[str]] = {}
+    for t, n in zip(texts, numbers, strict=True):
+        by.setdefault(n, []).append(t)
+    return [(n, _flat(ts)) for n, ts in by.items()]
+
+
+def _merge_all(x: np.ndarray, pair: Merge, new: int) -> np.ndarray:
+    """_merge over a flat array."""
+    at = np.flatnonzero((x[:-1] == pair[0]) & (x[1:] == pair[1]))
+    if not len(at):
+        return x
+    if pair[0] == pair[1]:  # of a run only every other place, from its start
+        first = np.concatenate([[True], np.diff(at) != 1])
+        at = at[(at - at[first][np.cumsum(first) - 1]) % 2 == 0]
+    out, keep = x.copy(), np.ones(len(x), bool)
+    out[at] = new
+    keep[at + 1] = False
+    return out[keep]
+
+
+def _counted(groups: list[tuple[int, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, number) of every pair of neighbours; ids are below size."""
+    k, keys, numbers = size + 1, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n, x in groups:
+        pairs = (x[:-1].astype(np.int64) + 1) * k + x[1:] + 1
+        if k * k <= 4 * max(len(x), 50_000):
+            c = np.bincount(pairs, minlength=k * k)
+            u = np.flatnonzero(c)
+            c = c[u]
+        else:
+            u, c = np.unique(pairs, return_counts=True)
+        inside = (u >= k) & (u % k > 0)
+        keys.append(u[inside])
+        numbers.append(c[inside] * n)
+    u, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(u), np.int64)
+    np.add.at(total, at, np.concatenate(numbers))
+    return u // k - 1, u % k - 1, total
+
+
+def _best(counted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[int, Merge] | None:
+    a, b, n = counted
+    if not len(n):
+        return None
+    i = int(np.argmax(n))  # the first of several, and pairs are in order
+    return int(n[i]), (int(a[i]), int(b[i]))
+
+
+class _Tasks:
+    """Sequences kept in the tasks as flat arrays by number of occurrences; merges are replayed on them."""
+
+    def __init__(self, distinct: DataFrame, text: str):
+        def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                g = _grouped(b.column(text).to_pylist(), b.column("n").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in g], pa.int64()), pa.array([x.tobytes() for _, x in g], pa.binary())], ["n", "ids"])
+
+        self.kept, self.done = distinct.mapInArrow(flat, "n long, ids binary").persist(), 0
+        self.older: DataFrame | None = None
+
+    def best(self, merges: list[Merge]) -> tuple[int, Merge] | None:
+        todo = list(enumerate(merges))[self.done :]
+
+        def replayed(b: pa.RecordBatch, todo: list[tuple[int, Merge]]) -> Iterator[tuple[int, np.ndarray]]:
+            for n, ids in zip(b.column("n").to_pylist(), b.column("ids"), strict=True):
+                x = np.frombuffer(ids.as_buffer(), np.int32)
+                for i, m in todo:
+                    x = _merge_all(x, m, FIRST + i)
+                yield n, x
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                g = list(replayed(b, todo))
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in g], pa.int64()), pa.array([x.tobytes() for _, x in g], pa.binary())], ["n", "ids"])
+
+        if len(todo) >= REPLAY:
+            self.older, self.kept, self.done = self.kept, self.kept.mapInArrow(keep, "n long, ids binary").persist(), len(merges)
+        size, left = FIRST + len(merges), list(enumerate(merges))[self.done :]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                a, c, n = _counted(list(replayed(b, left)), size)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(c, pa.int32()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+        r = self.kept.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
+        if self.older is not None:
+            self.older.unpersist()
+            self.older = None
+        return None if r is None else (r.n, (r.a, r.b))
 
 
 def encode_ids(text: str, ranks: dict[Merge, int]) -> list[int]:
@@ -115,13 +206,21 @@ def encode_ids(text: str, ranks: dict[Merge, int]) -> list[int]:
 
 
 def encode(df: DataFrame, text: str, merges: list[Merge], out: str = "ids") -> DataFrame:
-    """df with token ids of a text column; null has none. One Arrow pass; words and whole texts are memoised in the task."""
+    """df with token ids of a text column; null has none. One Arrow pass; a merge may only refer to ids before it."""
     ranks = {m: i for i, m in enumerate(merges)}
+    vocabulary(merges)
 
     @F.arrow_udf("array<int>")
     def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, list[int]] = {}
         for texts in batches:
+            if len(merges) <= BATCH_MERGES:
+                x = _flat([t or "" for t in texts.to_pylist()])
+                for i, m in enumerate(merges):
+                    x = _merge_all(x, m, FIRST + i)
+                ends = np.flatnonzero(x < 0)
+                yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends - np.arange(len(ends))]), pa.int32()), pa.array(x[x >= 0], pa.int32()))
+                continue
             rows = []
             for t in texts.to_pylist():
                 t = t or ""

@@ -13,12 +13,13 @@ from .registry import query
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chat_examples").where("answer_format = 'label'").select(F.col("row_id").alias("line"), F.coalesce("assistant_text", F.lit("")).alias("text"))
+    """(line, part, text): the system, user and assistant texts of all rows."""
+    return bpe.corpus(rows_of(spark, d))
 
 
 @query()
 def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty merges trained on all label answers."""
+    """Twenty merges trained on all texts of all rows."""
     merges, _ = bpe.train(_texts(spark, d), bpe.FIRST + 20)
     v = bpe.vocabulary(merges)
     return spark.createDataFrame([(i, a, b, v[bpe.FIRST + i].decode("utf-8", "replace")) for i, (a, b) in enumerate(merges)], "rank int, a int, b int, token string")
@@ -26,10 +27,21 @@ def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select row_id as line, true as same from chat_examples where answer_format = 'label'")
 def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The label answers, as the SQL states; bpe_round_trip_all has every text. The merges are trained on all texts."""
+    t = table(spark, d, "chat_examples").where("answer_format = 'label'").select(F.col("row_id").alias("line"), F.coalesce("assistant_text", F.lit("")).alias("text"))
+    return _round_trip(t, bpe.train(_texts(spark, d), bpe.FIRST + 20)[0], "line")
+
+
+@query()
+def bpe_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of every row, encoded and decoded again."""
     t = _texts(spark, d)
-    merges, _ = bpe.train(t, bpe.FIRST + 20)
-    x = bpe.decode(bpe.encode(t, "text", merges), "ids", merges, "back")
-    return x.select("line", (F.col("back") == F.col("text")).alias("same"))
+    return _round_trip(t, bpe.train(t, bpe.FIRST + 20)[0], "line", "part")
+
+
+def _round_trip(texts: DataFrame, merges: list[bpe.Merge], *key: str) -> DataFrame:
+    x = bpe.decode(bpe.encode(texts, "text", merges), "ids", merges, "back")
+    return x.select(*key, (F.col("back") == F.col("text")).alias("same"))
 
 
 @query(f"with {S.CONV}, p as (select line, 0 as part, system as text from conv where system <> '' union all select line, 1, \"user\" from conv union all select line, 2, assistant from conv), t as (select *, sum(octet_length(encode(text))) over (order by line, part) as total from p), s as (select min(line * 3 + part) as s from t where total > 200000) select line, part, octet_length(encode(text))::int as bytes from t, s where s is null or line * 3 + part < s")

@@ -1,10 +1,12 @@
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import bpe, corpus, grids
+from corpusmill.plans import corpus_queries
 from corpusmill.sources import documents as D
 
 
@@ -71,6 +73,34 @@ def test_bpe_in_tasks_trains_the_same(spark, monkeypatch):
     assert bpe.train(df.where("false"), 270) == ([], "no_pairs")
 
 
+def test_bpe_in_flat_arrays_equals_the_plain_loop(spark, monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aab é") for _ in range(rng.randrange(0, 40))) for _ in range(80)] + ["aaaaa", "aaaa", "aaaaa"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line int, text string").repartition(3)
+    seqs, want = [list(t.encode()) for t in texts], []
+    while len(want) < 19:
+        n = Counter(p for s in seqs for p in zip(s, s[1:], strict=False))
+        want.append(min(n, key=lambda p: (-n[p], p)))
+        seqs = [bpe._merge(s, want[-1], bpe.FIRST + len(want) - 1) for s in seqs]
+    assert bpe.train(df, bpe.FIRST + 19)[0] == want
+    monkeypatch.setattr(bpe, "DRIVER_TEXTS", 5)
+    assert bpe.train(df, bpe.FIRST + 19)[0] == want
+    assert {r.line: r.ids for r in bpe.encode(df, "text", want).collect()} == dict(enumerate(seqs))
+    monkeypatch.setattr(bpe, "BATCH_MERGES", 0)
+    assert {r.line: r.ids for r in bpe.encode(df, "text", want).collect()} == dict(enumerate(seqs))
+
+
+def test_bpe_queries_take_all_texts(spark):
+    d = "/root/testdata/sf0.001"
+    texts = [r.text for r in bpe.corpus(corpus_queries.rows_of(spark, d)).collect()]
+    assert len(texts) > spark.read.parquet(f"{d}/chat_examples.parquet").count() * 2
+    first = Counter(p for t in texts for p in zip(t.encode(), t.encode()[1:], strict=False))
+    r = corpus_queries.bpe_merges(spark, d).orderBy("rank").first()
+    assert (r.a, r.b) == min(first, key=lambda p: (-first[p], p))
+    got = corpus_queries.bpe_round_trip_all(spark, d).collect()
+    assert len(got) == len(texts) and all(r.same for r in got)
+
+
 @pytest.mark.parametrize("text", ["abc", "abcabc", "aaaaa", "zabcaaabc", "", "bcbcbc"])
 def test_encode_by_rank(text):
     merges = [(97, 98), (261, 99), (97, 97), (263, 97), (98, 99)]
