@@ -160,7 +160,7 @@ def stats_paired(spark: SparkSession, d: str) -> DataFrame:
 def stats_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the mean paired difference, by the users' parity."""
     p = _pairs(spark, d).select((F.col("user_id") % 2).alias("part"), (F.col("a") - F.col("b")).alias("value"))
-    return stats.bootstrap_interval(p, "value", "part", samples=200, seed=7)
+    return stats.bootstrap_interval(p, "value", "part", seed=7)
 
 
 _GATED = "with m as (select user_id, avg(value) filter (event_type = 'click') as v, count(*) filter (event_type = 'signup') as seeds, count(*) filter (event_type = 'error' and value > 300) as failures, bool_or(value > 20) filter (event_type = 'purchase') as robust from events group by 1)"
@@ -286,3 +286,9 @@ def stats_external(spark: SparkSession, d: str) -> DataFrame:
 def compiled_missing_splits(spark: SparkSession, d: str) -> DataFrame:
     """Splits, by their own spelling, that no row without a source is in."""
     return compiled.missing_splits(table(spark, d, "chat_examples").where("source is null").select(F.lower("split").alias("split")))
+
+
+@query("select split from (values ('train'), ('val'), ('test')) s(split) where split not in (select lower(split) from chat_examples where split is not null)")
+def compiled_missing_splits_all(spark: SparkSession, d: str) -> DataFrame:
+    """Splits, by their own spelling, that no row of the whole table is in."""
+    return compiled.missing_splits(table(spark, d, "chat_examples").select(F.lower("split").alias("split")))

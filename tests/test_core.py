@@ -334,3 +334,15 @@ def test_every_query_is_registered_with_sql_or_reason():
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 60
+
+
+def test_missing_splits_and_bootstrap_take_the_whole(spark, tmp_path):
+    from corpusmill.plans import metric_queries as Q
+
+    rows = [(1, "train", "a"), (2, "Val", None), (3, "train", None)]
+    spark.createDataFrame(rows, "row_id bigint, split string, source string").write.parquet(f"{tmp_path}/chat_examples.parquet")
+    assert [r.split for r in Q.compiled_missing_splits_all(spark, str(tmp_path)).collect()] == ["test"]
+    d = "/root/testdata/sf0.001"
+    p = Q._pairs(spark, d).selectExpr("user_id % 2 as part", "a - b as value")
+    want = Q.stats.bootstrap_interval(p, "value", "part", samples=4000, seed=7)
+    assert sorted(map(tuple, Q.stats_bootstrap(spark, d).collect())) == sorted(map(tuple, want.collect()))
