@@ -172,3 +172,16 @@ SQL |= {
     "p1_found": f"with r as (select row_id, {_SPLIT.format('split')} as s, list_distinct(regexp_extract_all(lower(coalesce(user_text, '') || chr(10) || coalesce(assistant_text, '')), '[\\p{{L}}\\p{{N}}]+')) as ws from chat_examples), w as (select row_id, s, len(ws) as n, unnest(ws) as w from r where s is not null) select least(e.row_id, t.row_id) as row_lo, greatest(e.row_id, t.row_id) as row_hi from w e join w t on e.w = t.w and e.s <> 'train' and t.s = 'train' group by e.row_id, t.row_id having 10 * count(*) >= 7 * (any_value(e.n) + any_value(t.n) - count(*))",
     "p8_clean": f"select doc_id, lang, source, topic, n_chars from documents where doc_id not in (select doc_id from ({SQL['p8_found']}))",
 }
+SQL |= {
+    "p1_report": f"with f as ({SQL['p1_found']}), h as (select row_lo as row_id from f union select row_hi from f), r as (select row_id, source, {_SPLIT.format('split')} as split from chat_examples) select split, source, count(*) as rows, count(h.row_id) as cross_split_duplicate_rows from r left join h using (row_id) where split in ('val', 'test') group by split, source",
+}
+#: Components of the exact overlaps between distinct word sets.
+_GROUPS = r"""with recursive r as (select row_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(user_text, '') || chr(10) || coalesce(assistant_text, '')), '[\p{L}\p{N}]+'))) as ws from chat_examples),
+ c as (select ws, min(row_id) as rep from r where len(ws) > 0 group by ws), w as (select rep, len(ws) as n, unnest(ws) as w from c),
+ e as (select x.rep as a, y.rep as b from w x join w y on x.w = y.w and x.rep <> y.rep group by x.rep, y.rep having 10 * count(*) >= 7 * (any_value(x.n) + any_value(y.n) - count(*))),
+ reach as (select rep as root, rep as node from c union select root, b from reach join e on a = node where b > root),
+ g as (select node, min(root) as group_id from reach group by node), rows_of as (select group_id, row_id from r join c using (ws) join g on g.node = c.rep)"""
+SQL |= {
+    "p3_found": f"{_GROUPS} select group_id, row_id from rows_of where row_id <> group_id",
+    "p3_summary": f"{_GROUPS} select members, count(*) as groups, sum(members - 1)::bigint as near_duplicate_content_rows from (select count(*) as members from rows_of group by group_id having count(*) > 1) group by members",
+}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import copies, leaks, overlaps, packing, pairs, quality, tiles, tokens
+from corpusmill.llm import copies, leaks, overlaps, packing, pairs, quality, tiles, tokens, wordsets
 from corpusmill.llm.components import components
 from corpusmill.llm.language import Guess
 from corpusmill.session import table
@@ -127,7 +127,9 @@ def test_kernel_loses_no_pair(spark):
             lo, hi = (lo ^ 1 << b, hi) if b < 64 else (lo, hi ^ 1 << (b - 64))
         p[i] = (1, i, lo, hi, len(s), 0, i % 2, 0)
     for sided in (True, False):
-        q = tiles.arrange(p, sided)
+        q = p.copy()
+        q["side"] = q["side"] if sided else 0
+        q = tiles.arrange(q)
         got = {tuple(sorted((int(q["id"][a]), int(q["id"][b])))) for i, j in tiles.candidates(q, 5, 10, sided) for a, b in zip(i, j)}
         want = {(i, j) for j in range(300) for i in range(j) if (not sided or i % 2 != j % 2) and overlap(sets[i], sets[j]) >= Fraction(1, 2)}
         assert want <= got
@@ -405,15 +407,53 @@ def test_dense_lists_are_linked_without_all_pairs(spark, chat, monkeypatch):
             i += 1
             rows.append((i, None, " ".join(w), None))
     want = brute_groups(rows)
-    monkeypatch.setattr(tiles, "DENSE", 2)
-    monkeypatch.setattr(tiles, "LEADERS", 3)
-    monkeypatch.setattr(tiles, "LARGE_LABEL", 20)
-    monkeypatch.setattr(tiles, "SHORT_LIST", 8)
     assert {tuple(r) for r in overlaps.near_duplicate_groups(chat(rows)).collect()} == want
+    monkeypatch.setattr(overlaps, "DENSE", 2)
+    assert {tuple(r) for r in overlaps.near_duplicate_groups(chat(rows)).collect()} == want
+    monkeypatch.setattr(overlaps, "DENSE_WORDS", 700)  # lists of a few thousand words are grids of cells
+    assert {tuple(r) for r in overlaps.near_duplicate_groups(chat(rows)).collect()} == want
+
+
+def test_hot_coordinate_values_are_cut_into_cells(spark, chat, monkeypatch):
+    rows = [(i + 1, None, u, a) for i, (u, a) in enumerate(noisy(random.Random(6), 150))]
+    want = {tuple(r) for r in overlaps.near_duplicate_groups(chat(rows)).collect()}
+    monkeypatch.setattr(overlaps, "LIST_BLOCK", 2)
+    monkeypatch.setattr(overlaps, "HOT_LOOK", 1)
+    assert {tuple(r) for r in overlaps.near_duplicate_groups(chat(rows)).collect()} == want and want
+
+
+@pytest.mark.parametrize("sided", [True, False])
+def test_grids_meet_every_pair_once(sided):
+    n = 60
+    side = (np.arange(n) % 3 == 0).astype(np.uint8) if sided else None
+    h = np.where(np.arange(n) < 50, 7, 9).astype(np.uint64)
+    at, number, s = tiles.grid(h, np.arange(n, dtype=np.uint64), side, np.array([7], np.uint64), np.array([[4, 3]]))
+    seen = Counter()
+    for k in set(number.tolist()):
+        cell = [(int(a), int(b)) for a, b, c in zip(at, s, number, strict=True) if c == k]
+        two = any(b for _, b in cell)
+        seen.update(tuple(sorted((a, c))) for x, (a, b) in enumerate(cell) for c, e in cell[:x] if (b != e if two else not sided))
+    pairs = {(i, j) for j in range(n) for i in range(j) if h[i] == h[j] and (not sided or side[i] != side[j])}
+    assert set(seen) == pairs and set(seen.values()) == {1}
+
+
+def test_dense_lists_keep_few_pairs():
     p = np.zeros(200, tiles.POSTING)
     p["n"], p["id"] = 10, np.arange(200)
     dense = []
-    assert sum(len(x) for x, _ in tiles.candidates(p, 7, 10, False, dense)) <= 200 and dense == [0]
-    assert not list(tiles.linked(p, np.zeros(200, np.int64), 7, 10))
-    label = np.repeat([1, 2], 100)
-    assert sum(len(x) for x, _ in tiles.linked(p, label, 7, 10)) == 100 * 100
+    assert sum(len(x) for x, _ in tiles.candidates(p, 7, 10, False, dense)) <= 200 and dense == [(0, 200)]
+    sets = [np.arange(10 * (i % 2), 10 * (i % 2) + 10, dtype=np.uint64) for i in range(200)]  # two groups of equal sets
+    links = [(i, j) for x, y in tiles.forest(p, np.arange(200), np.concatenate(sets), lambda i, j: np.ones(len(i), bool), 7, 10) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(links) == 198 and all(i % 2 == j % 2 for i, j in links)
+    assert not list(tiles.forest(p, np.arange(200) % 2, np.concatenate(sets), lambda i, j: np.ones(len(i), bool), 7, 10))
+
+
+def test_word_sets_of_odd_texts(monkeypatch):
+    texts = ["", "A b\u00df \u0130x A", "x_y z9", "\u0444\u044b\u0432\u0430 \u4e2d\u6587 \u00b2 \u2167", "w " * 3000 + "long" * 900, None]
+    for chars in (1 << 20, 64):
+        monkeypatch.setattr(wordsets, "SLICE_CHARS", chars)
+        s = wordsets.Sets(texts, [None, "q", "", None, "end", None])
+        want = [words(t, a) for t, a in zip(texts, [None, "q", "", None, "end", None], strict=True)]
+        assert s.rows.tolist() == [i for i, w in enumerate(want) if w] and s.n.tolist() == [len(w) for w in want if w]
+        alone = [wordsets.Sets([t], [a]).ids().tolist() for t, a in zip(texts, [None, "q", "", None, "end", None], strict=True)]
+        assert s.ids().tolist() == [x[0] for x in alone if x]
