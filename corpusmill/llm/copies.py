@@ -23,63 +23,58 @@ def canonical(chat: DataFrame) -> DataFrame:
 
 
 def _runs(chat: DataFrame) -> DataFrame:
-    """(key, low, row_id, edge) of canonical records in order: low is the smallest row_id of the record's run.
+    """(low, row_id, key): low is the smallest row_id of the record's run in its partition.
 
     Records are range-partitioned by their key's hash and row_id and sorted by hash, key and row_id, with Spark's
     external sort, then adjacent full keys are compared. The range takes in row_id, so a run of any length is spread
-    over partitions instead of filling one task; and what is sampled to find the ranges are numbers, not texts. `edge` marks rows of a partition's first and last hash, which may go on next door.
+    over partitions instead of filling one task; and what is sampled to find the ranges are numbers, not texts. A row
+    with a key tells the key and low of a run of the partition's first or last hash, which may go on next door, and
+    has no row_id. Rows stream through: only the runs of one hash are remembered, never their rows.
     """
     n = shuffle_width(chat.sparkSession)
     k = canonical(chat).withColumn("h", F.xxhash64("key"))
     ordered = k.repartitionByRange(n, "h", "row_id").sortWithinPartitions("h", "key", "row_id")
 
-    def batch(keys: list, low: list[int], ids: list[int], edge: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(low, pa.int64()), pa.array(ids, pa.int64()), pa.array([edge] * len(ids), pa.bool_())], ["key", "low", "row_id", "edge"])
+    def batch(low: list[int], ids: list[int | None], keys: list[str | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["low", "row_id", "key"])
 
-    def lowest(keys: list[str], ids: list[int]) -> list[int]:
-        """For each row of one hash the first, thus smallest, row_id of its key; full keys are compared."""
-        out = [ids[0]]
-        for i in range(1, len(ids)):
-            out.append(out[-1] if keys[i] == keys[i - 1] else ids[i])
-        return out
+    def edges(runs: list[tuple[str, int]]) -> pa.RecordBatch:
+        return batch([low for _, low in runs], [None] * len(runs), [key for key, _ in runs])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None
-        keys: list[str] = []  # the rows of the hash that is being read
-        ids: list[int] = []
+        runs: list[tuple[str, int]] = []  # (key, low) of the hash that is being read
         first = True
         for b in batches:
-            low, out = [], []
-            for h, k, r in zip(b.column("h").to_pylist(), b.column("key").to_pylist(), b.column("row_id").to_pylist(), strict=True):
+            low, ids = [], b.column("row_id").to_pylist()
+            for h, key, r in zip(b.column("h").to_pylist(), b.column("key").to_pylist(), ids, strict=True):
                 if h != at:
-                    if ids and first:
-                        yield batch(keys, lowest(keys, ids), ids, True)
+                    if first and runs:
+                        yield edges(runs)
                         first = False
-                    elif ids:
-                        low += lowest(keys, ids)
-                        out += ids
-                    at, keys, ids = h, [], []
-                keys.append(k)
-                ids.append(r)
-            if out:
-                yield batch([None] * len(out), low, out, False)
-        if ids:
-            yield batch(keys, lowest(keys, ids), ids, True)
+                    at, runs = h, []
+                if not runs or runs[-1][0] != key:
+                    runs.append((key, r))
+                low.append(runs[-1][1])
+            yield batch(low, ids, [None] * len(ids))
+        if runs:
+            yield edges(runs)
 
-    return ordered.mapInArrow(scan, "key string, low long, row_id long, edge boolean")
+    return ordered.mapInArrow(scan, "low long, row_id long, key string")
 
 
 def formatting_copies(chat: DataFrame) -> DataFrame:
     """(kept_id, row_id) of every record in chat: kept_id is the smallest row_id among its copies (itself if none).
 
-    Runs inside a partition are settled there. A run that crosses a border is settled by the minimum over its
-    edge rows, pre-aggregated, of which there are at most two hashes a partition: that table is broadcast (bound:
-    twice the number of partitions, never the number of rows). Null and empty texts count as empty, so records
-    without any letter or digit are copies of each other; ties and repeated rows keep the smallest row_id.
+    Runs inside a partition are settled there. A run that crosses a border is settled by the minimum over its parts,
+    of which there are at most two hashes a partition: that table is broadcast (bound: twice the number of partitions,
+    never the number of rows). Null and empty texts count as empty, so records without any letter or digit are copies
+    of each other; ties keep the smallest row_id, which must be unique.
     """
     runs = _runs(chat)
-    edges = runs.where("edge").groupBy("key").agg(F.min("low").alias("kept"))
-    return runs.join(F.broadcast(edges), "key", "left").select(F.coalesce("kept", "low").alias("kept_id"), "row_id")
+    parts = runs.where("row_id is null").select("key", "low")
+    moved = parts.join(parts.groupBy("key").agg(F.min("low").alias("kept")), "key").where("kept < low").select("low", "kept").distinct()
+    return runs.where("row_id is not null").select("low", "row_id").join(F.broadcast(moved), "low", "left").select(F.coalesce("kept", "low").alias("kept_id"), "row_id")
 
 
 def representatives(chat: DataFrame) -> DataFrame:
