@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_width
+from ..session import cut
 
-CAPACITY, OPEN_WINDOWS, FAN_IN = 4096, 64, 16
+CAPACITY, OPEN_WINDOWS, FAN_IN, MOST_TASKS = 4096, 64, 16, 20_000
 _SCHEMA = "container long, container_piece int, doc_id long, piece int, start long, tokens long, closed boolean"
 
 
@@ -58,8 +58,9 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, windows: int = OPEN_W
 
     Sizes are tokens of the byte tokenizer (UTF-8 bytes of text). Bounded-space best fit in each partition:
     `windows` containers are open, an item goes where the least room stays, the fullest is emitted when none fits.
-    The windows still open at the end are merged over rounds, FAN_IN partitions into one each time, as whole
-    units that are again placed best-fit, so no task ever holds more than FAN_IN * windows of them. A document is
+    The windows still open at the end are merged over rounds, FAN_IN of the partitions that the first pass really had
+    into one each time, down to one, whatever the session's shuffle width is: as whole units that are again placed
+    best-fit, group by group, so no task ever holds more than FAN_IN * windows of them. A document is
     split only if it is longer than a container: into full pieces and a rest. A container is named by the least
     document and piece in it, so a recomputed task names it alike. Null and empty texts take no room and are in no
     container. Repeated doc_ids must not occur; other columns are ignored.
@@ -81,33 +82,39 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, windows: int = OPEN_W
         yield from _rows(list(w.items.values()), False)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: dict[tuple, list] = {}
-        for b in batches:
-            full: list[list] = []
-            for c, cp, doc, piece, start, n, closed in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if closed:
-                    full.append((c, cp, doc, piece, start, n))
-                else:
-                    units.setdefault((c, cp), []).append((doc, piece, start, n))
-            if full:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))] + [pa.array([True] * len(full))], ["container", "container_piece", "doc_id", "piece", "start", "tokens", "closed"])
-        w, full = Windows(capacity, windows), []
-        for _, items in sorted(units.items(), key=lambda x: (-sum(i[3] for i in x[1]), x[0])):
-            if out := w.place(sum(i[3] for i in items), items):
-                full += out
-        yield from _rows(full, True)
-        yield from _rows(list(w.items.values()), False)
+        group, units = None, {}
 
-    out = sizes.mapInArrow(first, _SCHEMA).persist()
-    parts = max(shuffle_width(documents.sparkSession), 1)
-    done = None
-    left = out
-    while parts > 1:
+        def merged() -> Iterator[pa.RecordBatch]:
+            w, full = Windows(capacity, windows), []
+            for _, items in sorted(units.items(), key=lambda x: (-sum(i[3] for i in x[1]), x[0])):
+                if out := w.place(sum(i[3] for i in items), items):
+                    full += out
+            for rows in (_rows(full, True), _rows(list(w.items.values()), False)):
+                for r in rows:
+                    yield r.append_column("part", pa.array([group] * r.num_rows, pa.int32()))
+
+        for b in batches:
+            for c, cp, doc, piece, start, n, part in zip(*(b.column(x).to_pylist() for x in ("container", "container_piece", "doc_id", "piece", "start", "tokens", "part")), strict=True):
+                if part != group:
+                    yield from merged()
+                    group, units = part, {}
+                units.setdefault((c, cp), []).append((doc, piece, start, n))
+        yield from merged()
+
+    out = cut(sizes.mapInArrow(first, _SCHEMA).withColumn("part", F.spark_partition_id()))
+    done, left = [out.where("closed")], out.where("not closed")
+    parts = (left.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
         parts = -(-parts // FAN_IN)
-        settled = left.where("closed")
-        done = settled if done is None else done.union(settled)
-        left = left.where("not closed").repartition(parts, F.pmod(F.xxhash64("container", "container_piece"), F.lit(parts))).mapInArrow(again, _SCHEMA)
-    return (left if done is None else done.union(left)).drop("closed")
+        grouped = left.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part")
+        out = cut(grouped.mapInArrow(again, _SCHEMA + ", part int"))
+        done.append(out.where("closed"))
+        left = out.where("not closed")
+        if parts == 1:
+            break
+    for x in done:
+        left = left.unionByName(x)
+    return left.drop("closed", "part")
 
 
 def packing_summary(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
