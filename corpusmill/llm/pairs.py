@@ -87,33 +87,46 @@ def is_refusal(answer: str) -> bool:
 
 
 def tiles(a: list[str], b: list[str], least: int = 2) -> int:
-    """Greedy string tiling: words of a covered by disjoint longest common runs of at least `least` words with b."""
+    """Greedy string tiling: words of a covered by disjoint common runs of at least `least` words with b.
+
+    Lengths shrink from the longest power of two to `least`: windows of one length get equal numbers if they are equal
+    (from the numbers of their halves), and each window of a that is free takes the first free one of b and grows as far
+    as both go on. Tiles are never shorter than the window, so a window is free if its ends are; places of b that
+    are taken are never looked at again. The time is that of sorting, however repetitive the texts are.
+    """
     used_a, used_b, covered = bytearray(len(a)), bytearray(len(b)), 0
-    at: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        at.setdefault(w, []).append(j)
-    while True:
-        best, found = least, []
+    names: dict = {}
+    ids = [[names.setdefault(w, len(names)) for w in x] for x in (a, b)]
+    levels, s = [(1, ids)], 1
+    while 2 * s <= min(len(a), len(b)):
+        names = {}
+        ids = [[names.setdefault((x[i], x[i + s]), len(names)) for i in range(len(x) - 2 * s + 1)] for x in ids]
+        s *= 2
+        levels.append((s, ids))
+    todo = [(s, ids) for s, ids in reversed(levels) if s >= least]
+    if least not in (1, *(s for s, _ in todo)) and least <= min(len(a), len(b)):
+        todo.append((least, [[tuple(x[i : i + least]) for i in range(len(x) - least + 1)] for x in (a, b)]))
+    for s, (in_a, in_b) in todo:
+        at: dict = {}
+        for j in range(len(in_b) - 1, -1, -1):
+            at.setdefault(in_b[j], []).append(j)
         i = 0
-        while i < len(a):
-            if not used_a[i]:
-                for j in at.get(a[i], ()):
-                    k = 0
-                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
-                        k += 1
-                    if k > best:
-                        best, found = k, [(i, j)]
-                    elif k == best:
-                        found.append((i, j))
-            i += 1
-        placed = 0
-        for i, j in found:
-            if not any(used_a[i : i + best]) and not any(used_b[j : j + best]):
-                used_a[i : i + best] = used_b[j : j + best] = b"\1" * best
-                covered += best
-                placed += 1
-        if not placed:
-            return covered
+        while i < len(in_a):
+            if used_a[i] or used_a[i + s - 1] or not (places := at.get(in_a[i])):
+                i += 1
+                continue
+            while places and (used_b[places[-1]] or used_b[places[-1] + s - 1]):
+                places.pop()
+            if not places:
+                i += 1
+                continue
+            j, k = places.pop(), s
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
+                k += 1
+            used_a[i : i + k] = used_b[j : j + k] = b"\1" * k
+            covered += k
+            i += k
+    return covered
 
 
 def slightly_altered(prompt: list[str], answer: list[str]) -> bool:
