@@ -33,7 +33,7 @@ class TokenAutomaton:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str | None = None):
-        self.ranks = ranks
+        self.ranks, self.pattern = ranks, pattern
         self.split: Callable[[str], list[str]] = regex.compile(pattern).findall if pattern else lambda s: [s]
         self.machine = ahocorasick.Automaton()
         for token in ranks:
@@ -75,6 +75,17 @@ class TokenAutomaton:
                 raise ValueError("the vocabulary has no token for some byte")
         return count[len(data)]
 
+    def expression(self, text: str) -> Column | None:
+        """The scan as an expression, where the automaton allows one: then every byte ends exactly one token.
+
+        That is so if every byte is a token, no token is longer, texts aren't split, and the table lets any two tokens
+        stand side by side. The count is then the UTF-8 length, which stays in the JVM.
+        """
+        whole = not self.pattern and len(self.ranks) == 256 and all(len(t) == 1 for t in self.ranks)
+        if not whole or not all(self.may_follow(a, b) for a in self.ranks for b in self.ranks):
+            return None
+        return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
     def count(self, text: str | None) -> int:
         """Tokens of text; null and empty texts have none."""
         total = 0
@@ -89,20 +100,10 @@ class TokenAutomaton:
         return total
 
 
-def token_count(ranks: dict[bytes, int], text: str) -> Column | None:
-    """The compiled count as an expression, where the automaton collapses to one: a vocabulary of single bytes.
-
-    With no token longer than a byte every byte is a token and all pairs fit, so the scan is the UTF-8 length.
-    """
-    if len(ranks) >= 256 and all(len(t) == 1 for t in ranks):
-        return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    return None
-
-
 def with_token_count(df: DataFrame, text: str, out: str, ranks: dict[bytes, int] | None = None, pattern: str | None = None) -> DataFrame:
     """df with the column `out`: exact tokens of the column `text` (null: 0). Narrow; the vocabulary is broadcast (fixed size)."""
     ranks = BYTE_VOCABULARY if ranks is None else ranks
-    if (c := token_count(ranks, text)) is not None:
+    if (c := TokenAutomaton(ranks, pattern).expression(text)) is not None:
         return df.withColumn(out, c)
     sent = df.sparkSession.sparkContext.broadcast(ranks)
     made: list[TokenAutomaton] = []
