@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, unit_interval
 from ..functions.text import fingerprint_text
+from ..session import cut
 from ..sources.conversations import normalized_split
 from .dedup import normalized_content
 from .validate import group_key, with_reasons
@@ -33,7 +34,9 @@ def with_split(rows: DataFrame, seed: int = 1337, train: float = 0.9, val: float
 
 def summary(rows: DataFrame, **split) -> DataFrame:
     """The audit's counters over rows, in one row. Duplicates are looked for among accepted rows, ids among all."""
-    marked = with_reasons(rows)
+    placed = with_split(with_reasons(rows), **split)
+    # the texts are read once: what is written and counted are lines, reasons and hashes
+    marked = cut(placed.select("line", "reasons", "content_hash", F.col("assigned_split").alias("split"), F.sha2(fingerprint_text(normalized_content()), 256).alias("text_hash")))
     has = lambda reason: F.count_if(F.array_contains("reasons", reason))
     every = marked.agg(
         F.count("*").alias("total_rows"),
@@ -45,8 +48,7 @@ def summary(rows: DataFrame, **split) -> DataFrame:
         has("invalid_metadata_json").alias("invalid_metadata_rows"),
         has("duplicate_id").alias("duplicate_ids"),
     )
-    good = with_split(marked.where(F.size("reasons") == 0), **split)
-    h = good.select("line", "content_hash", F.col("assigned_split").alias("split"), F.sha2(fingerprint_text(normalized_content()), 256).alias("text_hash")).persist()
+    h = marked.where(F.size("reasons") == 0)
     exact = h.groupBy("text_hash").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact_duplicate_content_rows"))
     # of each content, all rows but those in its first row's split
     parts = h.groupBy("content_hash", "split").agg(F.count("*").alias("n"), F.min("line").alias("line"))

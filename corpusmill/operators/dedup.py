@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import simhash
 from ..functions.text import casefold, fingerprint_text
+from ..session import cut
+
+#: Distinct fingerprints of a bucket that one task meets with as many others.
+BUCKET_BLOCK = 20_000
 
 
 def normalized_content() -> Column:
@@ -21,14 +25,23 @@ def firsts(rows: DataFrame, key: str, *keep: str, line: str = "line") -> DataFra
     return rows.groupBy(key).agg(F.min(line).alias("first_line"), F.count("*").alias("n"), *[F.min_by(k, line).alias(f"first_{k}") for k in keep])
 
 
+def _hashed(rows: DataFrame, text: Column | None, *more: Column) -> DataFrame:
+    """(line, text_hash, more), written: the texts are read once."""
+    return cut(rows.select("line", F.sha2(fingerprint_text(normalized_content() if text is None else text), 256).alias("text_hash"), *more))
+
+
 def exact_duplicates(rows: DataFrame, text: Column | None = None, *more: Column) -> DataFrame:
     """(line, text_hash, exact_of, more): exact_of is the first line of the same words in the same order, null on that line.
 
     Case, punctuation, spacing and field borders don't count; texts without words are equal to each other. Null
     texts count as empty. The texts are read once: what is kept and joined are lines and hashes.
     """
-    h = rows.select("line", F.sha2(fingerprint_text(normalized_content() if text is None else text), 256).alias("text_hash"), *more).persist()
-    f = firsts(h.select("line", "text_hash"), "text_hash").where("n > 1").select("text_hash", "first_line")
+    h = _hashed(rows, text, *more)
+    return _with_first(h, firsts(h.select("line", "text_hash"), "text_hash"))
+
+
+def _with_first(h: DataFrame, first: DataFrame) -> DataFrame:
+    f = first.where("n > 1").select("text_hash", "first_line")
     return h.join(f, "text_hash", "left").withColumn("exact_of", F.when(F.col("line") > F.col("first_line"), F.col("first_line"))).drop("first_line")
 
 
@@ -50,27 +63,35 @@ def near_duplicates(rows: DataFrame, distance: int = 3, family: str = "blake2b",
     """(line, text_hash, exact_of, fp, near_of): near_of is the least line before whose fingerprint differs in at most `distance` bits.
 
     Exact duplicates match nothing and are matched by nothing. Equal fingerprints are settled by an aggregate, so
-    only distinct ones meet: an equi-join on bucket keys whose residue checks order and distance in the JVM. No
-    bucket is capped. With 0..16 bits of distance; null texts count as empty, whose fingerprint is 0.
+    only distinct ones meet: an equi-join on bucket keys whose residue checks order and distance in the JVM. A bucket of
+    more than BUCKET_BLOCK fingerprints is a grid of cells, so it is neither capped nor one task's work. With 0..16
+    bits of distance; null texts count as empty, whose fingerprint is 0.
     """
     if not 0 <= distance <= 16:
         raise ValueError("distance must be between 0 and 16")
     bits = 64 if family == "blake2b" else 60
-    x = exact_duplicates(rows, text, simhash(family, fold)(normalized_content() if text is None else text).alias("fp"))
-    left = x.where("exact_of is null").select("line", "fp")
-    one = firsts(left, "fp").select("fp", "first_line")
-    b = one.select("fp", "first_line", F.posexplode(F.array(*_keys(bits, distance))).alias("k", "v"))
-    o = b.select("k", "v", F.col("fp").alias("fp0"), F.col("first_line").alias("l0"))
-    met = b.join(o, ["k", "v"]).where(F.col("l0") < F.col("first_line")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= distance)
-    before = met.groupBy("fp").agg(F.min("l0").alias("other"))
-    settled = one.join(before, "fp", "left")
-    near = x.join(settled, "fp", "left").where("exact_of is null").select("line", F.least("other", F.when(F.col("line") > F.col("first_line"), F.col("first_line"))).alias("near_of"))
-    return x.join(near, "line", "left")
+    h = _hashed(rows, text, simhash(family, fold)(normalized_content() if text is None else text).alias("fp"))
+    texts = cut(firsts(h, "text_hash", "fp").withColumnRenamed("first_fp", "fp"))
+    one = cut(texts.groupBy("fp").agg(F.min("first_line").alias("first")))
+    before = _met(one, _keys(bits, distance), distance).groupBy("fp").agg(F.min("other").alias("other"))
+    named = texts.join(one, "fp").join(before, "fp", "left").select(F.col("first_line").alias("line"), F.least("other", F.when(F.col("first_line") > F.col("first"), F.col("first"))).alias("near_of"))
+    return _with_first(h, texts).join(cut(named.where("near_of is not null")), "line", "left")
+
+
+def _met(one: DataFrame, keys: list[Column], distance: int) -> DataFrame:
+    """(fp, other): for each fingerprint the first lines before its own of those in a bucket with it that are near."""
+    b = one.select("fp", "first", F.posexplode(F.array(*keys)).alias("k", "v"))
+    hot = cut(b.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_BLOCK).select("k", "v", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("parts")))
+    b = b.join(hot, ["k", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = b.select("k", "v", "fp", "first", F.col("own").alias("i"), every.alias("j"))
+    y = b.select("k", "v", F.col("fp").alias("fp0"), F.col("first").alias("other"), F.col("own").alias("j"), every.alias("i"))
+    return x.join(y, ["k", "v", "i", "j"]).where("other < first").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= distance).select("fp", "other")
 
 
 def cross_split(rows: DataFrame, key: str = "content_hash", split: str = "split") -> DataFrame:
     """rows with `crosses`: whether the first row of the same content lies in another split. Best called on few columns."""
-    rows = rows.persist()
+    rows = cut(rows)
     f = firsts(rows, key, split).where("n > 1").select(key, F.col(f"first_{split}").alias("_first"))
     return rows.join(f, key, "left").withColumn("crosses", F.coalesce(F.col("_first") != F.col(split), F.lit(False))).drop("_first")
 
@@ -86,7 +107,7 @@ def leakage_status(scan: DataFrame, manifest: DataFrame | None = None) -> DataFr
 
     new: the hash was not seen; known_same_split: seen in this split; cross_split_duplicate: seen in others only.
     """
-    scan = scan.persist()  # lines, hashes and splits, which are used three times
+    scan = cut(scan)  # lines, hashes and splits, which are used three times
     per = firsts(scan.select("line", "hash", "split"), "hash").select("hash", F.col("first_line").alias("_h"))
     both = scan.groupBy("hash", "split").agg(F.min("line").alias("_hs"))
     r = scan.join(per, "hash").join(both, ["hash", "split"])

@@ -38,7 +38,11 @@ REASONS = (
     + "good as (select * exclude (reasons) from marked where len(reasons) = 0)"
 )
 HASH = f"sha256('{{\"assistant\":' || to_json({collapse('assistant')}) || ',\"system\":' || to_json({collapse('system')}) || ',\"user\":' || to_json({collapse('\"user\"')}) || '}}')"
-_GROUP = "coalesce(" + ", ".join(f"case when trim(json_extract_string(metadata_json, '$.{k}')) <> '' then 'metadata:{k}:' || trim(json_extract_string(metadata_json, '$.{k}')) end" for k in ("group_id", "conversation_id", "source_id", "parent_id")) + ", case when id <> '' then 'id:' || id end, 'content:' || content_hash)"
+_GROUP = "coalesce(" + ", ".join(
+    # strings and whole numbers as they are written, true and false as True and False; nothing else
+    f"case when json_type(metadata_json, '$.{k}') in ('VARCHAR', 'BIGINT', 'UBIGINT', 'BOOLEAN') and {strip(f"json_extract_string(metadata_json, '$.{k}')")} <> '' then 'metadata:{k}:' || case when json_type(metadata_json, '$.{k}') = 'BOOLEAN' then case json_extract_string(metadata_json, '$.{k}') when 'true' then 'True' else 'False' end else json_extract_string(metadata_json, '$.{k}') end end"
+    for k in ("group_id", "conversation_id", "source_id", "parent_id")
+) + ", case when id <> '' then 'id:' || id end, 'content:' || content_hash)"
 #: with clauses: accepted rows with content_hash, group_key and assigned_split
 SPLIT = (
     REASONS
