@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut
 from .encode import canonical_hash
 
 Merge = tuple[int, int]
 #: Ids below this are bytes and role tokens; merge i makes id FIRST + i.
 FIRST = 261
-#: Distinct texts whose token sequences the driver holds while it trains; more are counted in tasks.
-DRIVER_TEXTS = 200_000
+#: Distinct texts, and their bytes, whose token sequences the driver holds while it trains; more are counted in tasks, with the same merges.
+DRIVER_TEXTS, DRIVER_BYTES = 200_000, 64 << 20
 #: Merges that tasks replay on the kept sequences before those are kept anew; changes no result.
 REPLAY = 6
 #: Vocabularies of more merges are applied text by text, others to a batch at once; both give the same ids.
@@ -63,11 +64,10 @@ def train(texts: DataFrame, vocab_size: int, min_frequency: int = 2, text: str =
     """
     if vocab_size < FIRST:
         raise ValueError(f"vocab_size must be at least {FIRST}")
-    distinct = texts.groupBy(text).agg(F.count("*").alias("n")).where(f"`{text}` <> ''")
-    head = distinct.limit(DRIVER_TEXTS + 1).collect()
+    distinct = cut(texts.groupBy(text).agg(F.count("*").alias("n")).where(f"`{text}` <> ''"))
+    size = distinct.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
     merges: list[Merge] = []
-    if len(head) > DRIVER_TEXTS:
-        del head
+    if size.texts > DRIVER_TEXTS or size.bytes > DRIVER_BYTES:
         tasks = _Tasks(distinct, text)
         while len(merges) < vocab_size - FIRST:
             best = tasks.best(merges)
@@ -77,6 +77,7 @@ def train(texts: DataFrame, vocab_size: int, min_frequency: int = 2, text: str =
                 return merges, "min_frequency_not_met"
             merges.append(best[1])
         return merges, "target_vocab_reached"
+    head = distinct.collect()
     groups = _grouped([r[0] for r in head], [r.n for r in head])
     del head
     while len(merges) < vocab_size - FIRST:
@@ -266,6 +267,12 @@ def artifact(merges: list[Merge]) -> dict:
     return body | {"sha256": canonical_hash(body)}
 
 
+def training_report(merges: list[Merge], stopped: str, config: dict, texts: DataFrame, text: str = "text") -> dict:
+    """What goes beside an artifact: how it was trained, and on how much."""
+    n = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    return {"config": config, "summary": {"texts": n.texts, "training_bytes": n.bytes, "merges": len(merges), "vocab_size": FIRST + len(merges), "stopped": stopped, "sha256": artifact(merges)["sha256"]}}
+
+
 def load_artifact(doc: dict) -> list[Merge]:
     body = {k: v for k, v in doc.items() if k != "sha256"}
     if doc.get("kind") != "byte_bpe" or canonical_hash(body) != doc.get("sha256"):

@@ -11,14 +11,24 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import row_hash
 from ..functions.text import strip
-from ..sources.conversations import OLD_SPLITS
+from ..sources.conversations import ASSISTANT_COLUMNS, OLD_SPLITS, SYSTEM_COLUMNS, USER_COLUMNS
 from .audit import assigned, check_fractions
 from .grids import STEPS
 
 
 def rendered(df: DataFrame, text: str, target: str | None = None) -> DataFrame:
-    """df with `rendered`: the text, and the target under it if there is one; rows whose text is empty fall away."""
-    t = F.concat_ws("\n", F.nullif(strip(text), F.lit("")), F.nullif(strip(target), F.lit("")) if target else F.lit(None).cast("string"))
+    """df with `rendered`; rows whose rendering is empty fall away.
+
+    A user and an assistant column are put in an envelope of SYSTEM, USER and ASSISTANT parts, each where it isn't
+    empty, with the first system text that there is. Else it is the text, and the target under it if there is one.
+    """
+    full = lambda c: F.nullif(strip(c), F.lit(""))
+    if target and text.lower() in USER_COLUMNS and target.lower() in ASSISTANT_COLUMNS:
+        systems = [full(c) for name in SYSTEM_COLUMNS for c in df.columns if c.lower() == name]
+        parts = {"SYSTEM": F.coalesce(*systems) if systems else F.lit(None).cast("string"), "USER": full(text), "ASSISTANT": full(target)}
+        t = F.concat_ws("\n\n", *[F.concat(F.lit(f"{name}:\n"), c) for name, c in parts.items()])
+    else:
+        t = F.concat_ws("\n", full(text), full(target) if target else F.lit(None).cast("string"))
     return df.withColumn("rendered", t).where("rendered <> ''")
 
 
@@ -70,7 +80,13 @@ def head_samples(df: DataFrame, split: str, order: str, n: int) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     """df in an order that seed and epoch fix: a range sort by hash. A different permutation from a bounded buffer's, but of any size."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
+    return df.orderBy(shuffle_key(key, seed, epoch))
+
+
+def shuffle_key(key: str, seed: int, epoch: int):
+    """What an epoch's order sorts by: a hash of seed, epoch and key, then the key itself, as one string."""
+    text = F.col(key).cast("string")
+    return F.concat(F.sha2(F.concat(F.lit(f"{seed}:{epoch}:"), text), 256), text)
 
 
 def buffered(items: Iterator, size: int, rng: random.Random) -> Iterator:
@@ -102,25 +118,36 @@ def buffer_shuffled(df: DataFrame, size: int, seed: int, epoch: int) -> DataFram
     return df.select(*names).mapInArrow(run, df.schema)
 
 
-HOLDOUT = ("rotate90", "rotate180", "mirror_x", "mirror_y", "scale")
+HOLDOUT = ("rotate90", "rotate180", "mirror_x", "mirror_y", "scale_object")
 
 
 def holdout_tasks(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """(task_id, rule, train): hold-out grid tasks, the rule by id, sides 2 to 4, 3 to 6 colours, three pairs each."""
+    """(task_id, rule, train, test): hold-out grid tasks, the rule by id, sides 2 to 4, 3 to 6 colours.
+
+    One pair to learn from and one to be tested on; task i has its own generator, so any task may make it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("input", pa.list_(pa.list_(pa.int32()))), ("output", pa.list_(pa.list_(pa.int32())))]))
         for b in batches:
-            ids, rules, train = b.column("id").to_pylist(), [], []
+            ids, rules, pairs = b.column("id").to_pylist(), [], ([], [])
             for i in ids:
                 rng, side, colors = random.Random(f"{seed}:{i}"), 2 + i % 3, 3 + i % 4
                 rules.append(HOLDOUT[i % 5])
-                grids = [[[rng.randrange(colors) for _ in range(side)] for _ in range(side)] for _ in range(3)]
-                train.append([{"input": g, "output": STEPS[rules[-1]](g)} for g in grids])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rules, pa.string()), pa.array(train, kind)], ["task_id", "rule", "train"])
+                for part in pairs:
+                    g = [[rng.randrange(colors) for _ in range(side)] for _ in range(side)]
+                    part.append([{"input": g, "output": STEPS[rules[-1]](g)}])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rules, pa.string()), *(pa.array(p, kind) for p in pairs)], ["task_id", "rule", "train", "test"])
 
     grid = "array<array<int>>"
-    return spark.range(n).mapInArrow(run, f"task_id long, rule string, train array<struct<input:{grid},output:{grid}>>")
+    pair = f"array<struct<input:{grid},output:{grid}>>"
+    return spark.range(n).mapInArrow(run, f"task_id long, rule string, train {pair}, test {pair}")
+
+
+def write_holdout(tasks: DataFrame, path: str, seed: int) -> None:
+    """Task files: one JSON object a line with id, rule, train and test, written by all tasks at once."""
+    name = F.format_string(f"synthetic_{seed}_%04d_%s", "task_id", "rule")
+    tasks.select(F.to_json(F.struct(name.alias("id"), F.struct(F.col("rule").alias("transform"), F.lit(seed).alias("seed")).alias("meta"), "train", "test")).alias("value")).write.text(path)
 
 
 def needle_cases(spark: SparkSession, n: int, length: int, seed: int, vocabulary: int = 64) -> DataFrame:

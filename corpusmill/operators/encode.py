@@ -64,21 +64,31 @@ def encode_prompt(rows: DataFrame, max_length: int = 512) -> DataFrame:
     return rows.withColumn("_f", full).withColumn("prompt_ids", F.when(F.size("_f") <= max_length, F.col("_f")).otherwise(F.concat(_ids(BOS), F.slice("_f", -(max_length - 1), max_length - 1)))).drop("_f")
 
 
-def with_ordinal(rows: DataFrame, order: str = "line", out: str = "ordinal") -> DataFrame:
+def with_ordinal(rows: DataFrame, order: str = "line", out: str = "ordinal", by: str | None = None) -> DataFrame:
     """rows with their dense position (from 0) by a unique column, without gathering rows in one partition.
 
-    Keys are range-partitioned and sorted; only the number of keys in each partition reaches the driver.
+    Keys are range-partitioned and sorted; only the number of keys in each partition reaches the driver. by: positions
+    count anew for each value of that column (not null), of which there are few.
     """
-    n = shuffle_width(rows.sparkSession)
-    keys = rows.select(order).repartitionByRange(n, order).sortWithinPartitions(order)
-    placed = cut(keys.withColumn("_m", F.monotonically_increasing_id()).select(order, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i")))
-    counts = dict(sorted((r._p, r.n) for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()))
-    total, starts = 0, []
-    for p, c in counts.items():
-        starts += [F.lit(p), F.lit(total)]
-        total += c
-    base = F.create_map(*starts)[F.col("_p")] if starts else F.lit(0)
-    return rows.join(placed.select(order, (base + F.col("_i")).cast("long").alias(out)), order)
+    keys = ordinals(rows.select(order, *([by] if by else [])), order, out, by)
+    return rows.join(keys.select(order, out), order)
+
+
+def ordinals(keys: DataFrame, order: str, out: str = "ordinal", by: str | None = None) -> DataFrame:
+    """keys with their dense position, written to the shared folder."""
+    group = [by] if by else []
+    keys = keys.repartitionByRange(shuffle_width(keys.sparkSession), *group, order).sortWithinPartitions(*group, order)
+    placed = cut(keys.withColumn("_m", F.monotonically_increasing_id()).select(*keys.columns, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i")))
+    name = F.concat_ws(":", F.col("_p").cast("string"), *group)
+    counts = placed.groupBy("_p", *group).agg(F.count("*").alias("n"), F.min("_i").alias("low"), F.first(name).alias("name")).collect()
+    total: dict = {}
+    starts = []
+    for r in sorted(counts, key=lambda r: (r["_p"], r.low)):
+        g = r[by] if by else None
+        starts += [F.lit(r.name), F.lit(total.get(g, 0) - r.low)]
+        total[g] = total.get(g, 0) + r.n
+    base = F.create_map(*starts)[name] if starts else F.lit(0)
+    return placed.select(*keys.columns, (base + F.col("_i")).cast("long").alias(out))
 
 
 def in_batches(rows: DataFrame, size: int, order: str = "line") -> DataFrame:

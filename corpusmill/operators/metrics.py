@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import utf8_bytes
+from ..session import cut, shuffle_width
 
 
 def unigram_baseline(train: DataFrame, held: DataFrame, text: str, alpha: float = 1.0, symbols: int = 259) -> DataFrame:
@@ -72,10 +73,21 @@ def generation_diagnostics(generated: DataFrame, tokens: str, eos: str, *by: str
 
 
 def telemetry(events: DataFrame, run: str, step: list[str], tokens: str, seconds: str, loss: str) -> DataFrame:
-    """events with cumulative tokens and seconds, tokens a second and the best loss so far, per run in step order."""
-    w = W.partitionBy(run).orderBy(*step).rowsBetween(W.unboundedPreceding, 0)
-    r = events.withColumn("total_tokens", F.sum(tokens).over(w)).withColumn("total_seconds", F.sum(seconds).over(w)).withColumn("best_loss", F.min(loss).over(w))
-    return r.withColumn("tokens_per_second", F.when(F.col("total_seconds") > 0, F.col("total_tokens") / F.col("total_seconds")))
+    """events with cumulative tokens and seconds, tokens a second and the best loss so far, per run in step order.
+
+    A run of any length spreads over range partitions: each holds a block of it, blocks are summed first, and what
+    comes before a block is added to the totals inside it. So no window holds more than one block of a run.
+    """
+    n = shuffle_width(events.sparkSession)
+    blocks = cut(events.repartitionByRange(n, run, *step).withColumn("_block", F.spark_partition_id()))
+    sums = blocks.groupBy(run, "_block").agg(F.sum(tokens).alias("_t"), F.sum(seconds).alias("_s"), F.min(loss).alias("_l"))
+    past = W.partitionBy(run).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = cut(sums.select(F.col(run).alias("_run"), F.col("_block").alias("_b"), F.sum("_t").over(past).alias("_t"), F.sum("_s").over(past).alias("_s"), F.min("_l").over(past).alias("_l")))
+    w = W.partitionBy(run, "_block").orderBy(*step).rowsBetween(W.unboundedPreceding, 0)
+    r = blocks.join(before, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_block") == F.col("_b")))
+    whole = lambda c, past: F.when(F.col(past).isNull(), c).when(c.isNull(), F.col(past)).otherwise(c + F.col(past))
+    r = r.withColumn("total_tokens", whole(F.sum(tokens).over(w), "_t")).withColumn("total_seconds", whole(F.sum(seconds).over(w), "_s")).withColumn("best_loss", F.least(F.min(loss).over(w), "_l"))
+    return r.drop("_block", "_run", "_b", "_t", "_s", "_l").withColumn("tokens_per_second", F.when(F.col("total_seconds") > 0, F.col("total_tokens") / F.col("total_seconds")))
 
 
 def quantiles(df: DataFrame, value: str, *by: str, points: tuple[float, ...] = (0.5, 0.9, 0.99), exact: bool = True) -> DataFrame:
@@ -143,6 +155,19 @@ def route(scores: DataFrame, key: str, experts: int, batch: Column, per_token: i
     return best.withColumn("_cap", cap).select(key, "batch", F.col("token").alias("expert"), "p", (rank <= F.col("_cap")).alias("accepted"))
 
 
+def router_entropy(scores: DataFrame, key: str) -> DataFrame:
+    """One row: rows, and the mean entropy of their probabilities over all experts, in nats."""
+    p = F.col("p")
+    per = with_probability(scores, key).groupBy(key).agg(F.sum(-p * F.log(F.greatest(p, F.lit(1e-12)))).alias("h"))
+    return per.agg(F.count("*").alias("rows"), F.avg("h").alias("router_entropy"))
+
+
+def padding_fraction(batches: DataFrame, valid: Column, width: Column, *by: str) -> DataFrame:
+    """By batch: the share of positions that hold no token; 0 of none."""
+    m = batches.groupBy(*by).agg(F.sum(valid).alias("valid_tokens"), F.sum(width).alias("positions"))
+    return m.withColumn("padding_fraction", 1 - F.col("valid_tokens") / F.greatest(F.lit(1), F.col("positions")))
+
+
 def routing_load(routed: DataFrame) -> DataFrame:
     """By expert: routes, share of all, accepted and dropped ones; `collapsed` if one expert gets over 0.9 of all."""
     per = routed.groupBy("expert").agg(F.count("*").alias("routes"), F.count_if("accepted").alias("accepted_routes"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import as_column
+from .encode import IGNORE, in_batches, pad_batches
 
 TASKS = ("copy", "reverse", "parity", "modular_addition", "sorting", "selective_copy", "associative_recall", "bracket_balance", "finite_state_parity")
 OPEN, CLOSE = 24, 25
@@ -104,3 +105,15 @@ def generate(spark: SparkSession, task: str, n: int, length: int, seed: int) ->
 
     x = spark.range(n).mapInArrow(run, "example long, prompt array<int>")
     return x.withColumn("task", F.lit(task)).withColumn("answer", answer(task, "prompt"))
+
+
+def encoded(examples: DataFrame, max_length: int) -> DataFrame:
+    """examples(prompt, answer, ...) with input_ids and labels, which are IGNORE up to the answer; longer ones are an error."""
+    ids = F.concat("prompt", "answer")
+    n = F.when(F.size(ids) > max_length, F.raise_error(F.concat(F.lit("an example requires "), F.size(ids).cast("string"), F.lit(f" positions of {max_length}"))).cast("int")).otherwise(F.size(ids))
+    return examples.withColumn("input_ids", F.slice(ids, 1, n)).withColumn("labels", F.concat(F.array_repeat(F.lit(IGNORE), F.size("prompt")), F.col("answer")))
+
+
+def collated(examples: DataFrame, max_length: int, size: int, order: str = "example", pad: int = 0) -> DataFrame:
+    """Encoded examples in batches of `size` by order, padded to their batch's longest, with attention_mask."""
+    return pad_batches(in_batches(encoded(examples, max_length), size, order), pad)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bpe, corpus, grids
+from ..operators import bpe, corpus, encode, grids
 from ..session import table
 from . import sql as S
 from .audit_queries import rows_of
@@ -25,23 +25,26 @@ def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, a, b, v[bpe.FIRST + i].decode("utf-8", "replace")) for i, (a, b) in enumerate(merges)], "rank int, a int, b int, token string")
 
 
-@query("select row_id as line, true as same from chat_examples where answer_format = 'label'")
-def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """The label answers, as the SQL states; bpe_round_trip_all has every text. The merges are trained on all texts."""
-    t = table(spark, d, "chat_examples").where("answer_format = 'label'").select(F.col("row_id").alias("line"), F.coalesce("assistant_text", F.lit("")).alias("text"))
-    return _round_trip(t, bpe.train(_texts(spark, d), bpe.FIRST + 20)[0], "line")
+_PARTS = f"with {S.CONV.replace('conv as (', 'conv as materialized (')}, t as (select line, 0 as part, system as text from conv where system <> '' union all select line, 1, \"user\" from conv union all select line, 2, assistant from conv)"
 
 
-@query()
-def bpe_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every text of every row, encoded and decoded again."""
+def _coded(spark: SparkSession, d: str) -> DataFrame:
     t = _texts(spark, d)
-    return _round_trip(t, bpe.train(t, bpe.FIRST + 20)[0], "line", "part")
+    merges = bpe.train(t, bpe.FIRST + 20)[0]
+    return bpe.decode(bpe.encode(t, "text", merges), "ids", merges, "back")
 
 
-def _round_trip(texts: DataFrame, merges: list[bpe.Merge], *key: str) -> DataFrame:
-    x = bpe.decode(bpe.encode(texts, "text", merges), "ids", merges, "back")
-    return x.select(*key, (F.col("back") == F.col("text")).alias("same"))
+@query(_PARTS + " select line, part, true as same, octet_length(encode(text)) as bytes from t")
+def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of every row, encoded and decoded again."""
+    return _coded(spark, d).select("line", "part", (F.col("back") == F.col("text")).alias("same"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query(_PARTS + " select part, count(*) as texts, sum(octet_length(encode(text)))::bigint as bytes, true as saves from t group by part")
+def bpe_savings(spark: SparkSession, d: str) -> DataFrame:
+    """By part: texts and bytes, and whether twenty merges save a twentieth of the tokens; a coder without merges saves nothing."""
+    n = F.sum(F.octet_length("text"))
+    return _coded(spark, d).groupBy("part").agg(F.count("*").alias("texts"), n.alias("bytes"), (F.sum(F.size("ids")) < 0.95 * n).alias("saves"))
 
 
 @query(f"with {S.CONV}, p as (select line, 0 as part, system as text from conv where system <> '' union all select line, 1, \"user\" from conv union all select line, 2, assistant from conv), t as (select *, sum(octet_length(encode(text))) over (order by line, part) as total from p), s as (select min(line * 3 + part) as s from t where total > 200000) select line, part, octet_length(encode(text))::int as bytes from t, s where s is null or line * 3 + part < s")
@@ -73,17 +76,25 @@ def corpus_head_samples(spark: SparkSession, d: str) -> DataFrame:
     return corpus.head_samples(r, "split", "line", 25)
 
 
-@query("select doc_id from documents")
+@query("select doc_id, row_number() over (order by sha256('7:0:' || doc_id) || doc_id) - 1 as place from documents")
 def corpus_shuffled(spark: SparkSession, d: str) -> DataFrame:
-    """All documents in an epoch's order, then through per-partition buffers: nothing lost, nothing twice."""
-    return corpus.buffer_shuffled(corpus.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 7, 0), 256, 7, 0)
+    """All documents with their place in an epoch's order."""
+    docs = table(spark, d, "documents").select("doc_id", corpus.shuffle_key("doc_id", 7, 0).alias("k"))
+    return encode.with_ordinal(docs, "k", "place").select("doc_id", "place")
+
+
+@query("select doc_id from documents")
+def corpus_buffered(spark: SparkSession, d: str) -> DataFrame:
+    """All documents through per-partition buffers: nothing lost, nothing twice. The order within is tested in the tests."""
+    return corpus.buffer_shuffled(table(spark, d, "documents").select("doc_id"), 256, 7, 0)
 
 
 @query()
 def holdout_solved(spark: SparkSession, d: str) -> DataFrame:
     """Two hundred hold-out tasks and the programs that solve them."""
     t = corpus.holdout_tasks(spark, 200, 5)
-    return grids.search(t).join(t.select("task_id", "rule"), "task_id")
+    r = grids.search(t).join(t.select("task_id", "rule", F.get("test", F.lit(0))["output"].alias("wanted")), "task_id")
+    return r.select("task_id", "rule", "program", "solved", (F.get("predictions", F.lit(0)) == F.col("wanted")).alias("predicted"))
 
 
 @query()

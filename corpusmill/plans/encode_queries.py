@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bytes_text, utf8_bytes
-from ..operators import compiled, encode, validate
+from ..operators import batches, compiled, corpus, encode, metrics, validate
 from ..session import table
 from . import sql as S
 from .audit_queries import good_of, rows_of
@@ -67,17 +67,28 @@ def encode_padded(spark: SparkSession, d: str) -> DataFrame:
     return b.select("line", "batch_id", F.size("input_ids").alias("width"), F.size(F.filter("attention_mask", lambda x: x)).alias("kept"))
 
 
-@query(
+@query(_ENC + _BATCHED + ", p as (select batch_id, len(ids)::bigint as n, max(len(ids)) over (partition by batch_id) as w from batched) select batch_id, sum(n)::bigint as valid_tokens, sum(w)::bigint as positions, round(1 - sum(n) / sum(w), 9) as padding_fraction from p group by batch_id")
+def encode_padding_fraction(spark: SparkSession, d: str) -> DataFrame:
+    b = encode.in_batches(_encoded(spark, d).select("line", F.size("input_ids").alias("n")), 64)
+    b = b.join(b.groupBy("batch_id").agg(F.max("n").alias("w")), "batch_id")
+    m = metrics.padding_fraction(b, F.col("n"), F.col("w"), "batch_id")
+    return m.withColumn("padding_fraction", F.round("padding_fraction", 9))
+
+
+_FOLD = (
     _ENC.replace("with ", "with recursive ", 1)
     + _BATCHED
-    + ", n as (select batch_id, ordinal, line, len(ids)::int as n from batched), fold as (select batch_id, ordinal, line, n, 0 as bin, 0 as start, n as used from n where ordinal % 64 = 0 union all select x.batch_id, x.ordinal, x.line, x.n, case when f.used + x.n > 1024 then f.bin + 1 else f.bin end, case when f.used + x.n > 1024 then 0 else f.used end, case when f.used + x.n > 1024 then x.n else f.used + x.n end from fold f join n x on x.ordinal = f.ordinal + 1 and x.batch_id = f.batch_id) select batch_id, line, n, bin, start from fold"
+    + ", n as (select batch_id, ordinal, line, len(ids)::int as n from batched), fold as (select batch_id, ordinal, line, n, 0 as bin, 0 as start, n as used from n where ordinal % 64 = 0 union all select x.batch_id, x.ordinal, x.line, x.n, case when f.used + x.n > 1024 then f.bin + 1 else f.bin end, case when f.used + x.n > 1024 then 0 else f.used end, case when f.used + x.n > 1024 then x.n else f.used + x.n end from fold f join n x on x.ordinal = f.ordinal + 1 and x.batch_id = f.batch_id)"
 )
+
+
+@query(_FOLD + " select batch_id, line, n, bin, start from fold")
 def encode_packing(spark: SparkSession, d: str) -> DataFrame:
     b = encode.in_batches(_encoded(spark, d).select("line", F.size("input_ids").alias("n")), 64)
     return encode.next_fit(b, 1024)
 
 
-@query()
+@query(_FOLD + " select batch_id, bin, 1024 as width, sum(n)::int as filled, sum(n - greatest(first, 1))::int as targets, count(*)::int as segments from fold join (select line, first from enc) using (line) group by batch_id, bin")
 def encode_packed_rows(spark: SparkSession, d: str) -> DataFrame:
     e = _encoded(spark, d)
     placed = encode.next_fit(encode.in_batches(e.select("line", F.size("input_ids").alias("n")), 64), 1024)
@@ -94,10 +105,6 @@ def compiled_summary(spark: SparkSession, d: str) -> DataFrame:
     return compiled.split_summary(_encoded(spark, d))
 
 
-def _affine_sql(n: str, m: int, o: int) -> str:
-    return f"select line, ordinal, cursor from o join c on ordinal = ({m} * cursor + {o}) % {n}"
-
-
 @query()
 def compiled_order(spark: SparkSession, d: str) -> DataFrame:
     """Two epochs' orders of all documents: each a permutation."""
@@ -112,6 +119,19 @@ def stream_batches(spark: SparkSession, d: str) -> DataFrame:
     return encode.in_batches(table(spark, d, "documents").select(F.col("doc_id").alias("line")), 32)
 
 
+_TWICE = f"with {S.SPLIT}, v as (select line, row_number() over (order by line) - 1 as k from placed where assigned_split = 'val'), m as (select count(*) as m from v), p as (select unnest(range((2 * m + 63) // 64 * 64)) as p, m from m)"
+
+
+@query(_TWICE + " select p // 64 as batch, (p % 64)::int as slot, (p // m)::int as epoch, line from p join v on v.k = p % m")
+def stream_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Two epochs of the validation rows in batches of 64, saved after the second batch and taken up again by another stream."""
+    rows = good_of(spark, d).select("line", "assigned_split")
+    one, two = (batches.Batches(rows, "val", 64, "chat_examples") for _ in "ab")
+    head = one.take(2)
+    two.load(one.saved())
+    return head.union(two.take(-(-2 * two.matches // 64) - 2)).select("batch", "slot", "epoch", "line")
+
+
 @query("with b as (select doc_id as line, list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2))::int + 3) as b from documents) select line, least(len(b), 126)::int + 2 as n, sha256(array_to_string([1] || b[1:126] || [2] || list_transform(range(126 - least(len(b), 126)), lambda i: 0), ',')) as ids from b")
 def old_encoding(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("line"), "text")
@@ -121,9 +141,7 @@ def old_encoding(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {S.CONV} select line, sha256(case when system <> '' then 'SYSTEM:' || chr(10) || system || chr(10) || chr(10) else '' end || 'USER:' || chr(10) || \"user\" || chr(10) || chr(10) || 'ASSISTANT:' || chr(10) || assistant) as text from conv where \"user\" <> '' and assistant <> ''")
 def old_rendering(spark: SparkSession, d: str) -> DataFrame:
     """The older one-text form of a conversation."""
-    part = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f"{name}:\n"), F.col(c)))
-    text = F.concat_ws("\n\n", part("SYSTEM", "system"), part("USER", "user"), part("ASSISTANT", "assistant"))
-    return rows_of(spark, d).where("user <> '' and assistant <> ''").select("line", F.sha2(text, 256).alias("text"))
+    return corpus.rendered(rows_of(spark, d).where("user <> '' and assistant <> ''"), "user", "assistant").select("line", F.sha2("rendered", 256).alias("text"))
 
 
 @query(f"with {S.REASONS} select line, \"user\" from good where line <= 1000")

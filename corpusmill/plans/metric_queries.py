@@ -106,7 +106,7 @@ def logits_argmax(spark: SparkSession, d: str) -> DataFrame:
     return metrics.argmax_penalised(_scores(spark, d), seen, "vec_id", 1.3)
 
 
-@query()
+@query(f"with {_PR}, c as (select *, sum(p) over (partition by vec_id order by token) as c from p) select vec_id, min(token)::int as token from c where c >= {S.unit('vec_id::varchar', 5)} group by vec_id")
 def logits_draw(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return metrics.draw(_scores(spark, d), "vec_id", e.select("vec_id", unit_interval(F.col("vec_id").cast("string"), 5).alias("u")))
@@ -124,6 +124,12 @@ def routing_load(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.routing_load(metrics.route(metrics.exploded(e, "vec_id", "embedding"), "vec_id", 8, F.floor(F.col("vec_id") / 64))))
 
 
+@query(f"with {_PR.replace('from embeddings)', 'from (select vec_id, embedding[1:8] as embedding from embeddings))')}, h as (select vec_id, sum(-p * ln(greatest(p, 1e-12))) as h from p group by vec_id) select count(*) as rows, {_R('avg(h)')} as router_entropy from h")
+def routing_entropy(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding"))
+    return rounded(metrics.router_entropy(metrics.exploded(e, "vec_id", "embedding"), "vec_id"))
+
+
 _T = ", ".join(map(str, stats.T_95))
 _SS = "with m as (select {by}, count(value) as count, avg(value) as mean, coalesce(stddev_samp(value), 0) as sd, median(value) as median, min(value) as minimum, max(value) as maximum from {src} group by 1), t as (select *, sd / sqrt(count) as se, case when count <= 1 then 0 when count <= 31 then ([{t}])[count - 1] else 1.96 end as t from m) select {by}, count, round(mean, 6) as mean, round(sd, 6) as standard_deviation, round(median, 6) as median, minimum, maximum, round(se, 6) as standard_error, round(mean - t * se, 6) as ci_low, round(mean + t * se, 6) as ci_high from t"
 
@@ -235,9 +241,10 @@ def registry_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return runs.artifacts(table(spark, d, "runs"))
 
 
-@query(f"with {_CUR} select run_id, fault from (select run_id, unnest(list_filter([case when trim(run_id) = '' then 'empty run_id' end, case when coalesce(status in ('queued', 'running', 'completed', 'failed', 'cancelled'), false) = false then 'status' end, case when created_at < 0 or updated_at < created_at then 'timestamps' end, case when status = 'failed' and coalesce(failure, '') = '' then 'failure message' end], lambda x: x is not null)) as fault from cur)")
+@query(f"with {_CUR.replace('from runs', 'from (select * replace (null::varchar as failure, updated_at - 7200 as updated_at) from runs) runs')} select run_id, fault from (select run_id, unnest(list_filter([case when trim(run_id) = '' then 'empty run_id' end, case when coalesce(status in ('queued', 'running', 'completed', 'failed', 'cancelled'), false) = false then 'status' end, case when created_at < 0 or updated_at < created_at then 'timestamps' end, case when status = 'failed' and coalesce(failure, '') = '' then 'failure message' end], lambda x: x is not null)) as fault from cur)")
 def registry_faults(spark: SparkSession, d: str) -> DataFrame:
-    return runs.faults(table(spark, d, "runs"))
+    """Faults of a registry whose failure messages are lost and whose updates lie two hours too early."""
+    return runs.faults(table(spark, d, "runs").withColumn("failure", F.lit(None).cast("string")).withColumn("updated_at", F.col("updated_at") - 7200))
 
 
 @query(f"with recursive {_CUR}, up(run_id, ancestor, depth) as (select run_id, parent_run_id, 1 from cur where parent_run_id is not null union all select up.run_id, p.parent_run_id, depth + 1 from up join cur p on p.run_id = up.ancestor where p.parent_run_id is not null and depth < 50) select * from up")
@@ -282,10 +289,10 @@ def stats_external(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.external_experiment(pairs, "c", "v", 15, 30.0, -30.0, "part"))
 
 
-@query("select split from (values ('train'), ('val'), ('test')) s(split) where split not in (select lower(split) from chat_examples where split is not null and source is null)")
+@query("with h as (select distinct source, lower(split) as split from chat_examples), w as (select distinct source, unnest(['train', 'val', 'test']) as split from chat_examples) select source, split from w where not exists (select 1 from h where h.source is not distinct from w.source and h.split = w.split)")
 def compiled_missing_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Splits, by their own spelling, that no row without a source is in."""
-    return compiled.missing_splits(table(spark, d, "chat_examples").where("source is null").select(F.lower("split").alias("split")))
+    """By source: the splits, by their own spelling, that no row is in."""
+    return compiled.missing_splits(table(spark, d, "chat_examples").select("source", F.lower("split").alias("split")), "split", "source")
 
 
 @query("select split from (values ('train'), ('val'), ('test')) s(split) where split not in (select lower(split) from chat_examples where split is not null)")

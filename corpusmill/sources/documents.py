@@ -132,6 +132,61 @@ def report_markdown(title: str, sections: dict[str, object]) -> str:
     return "\n".join(out)
 
 
+#: fixed values: the version of research reports
+REPORT_VERSION = "1.1"
+
+
+def check_report(report: dict) -> None:
+    """Raises where a research report breaks a rule: version, a limitation, metrics and gates that are there and finite, no `keep` with a failed gate."""
+
+    def finite(x: object) -> bool:
+        if isinstance(x, dict):
+            return all(map(finite, x.values()))
+        if isinstance(x, (list, tuple)):
+            return all(map(finite, x))
+        return not isinstance(x, float) or math.isfinite(x)
+
+    gates = report.get("gates") or []
+    rules = {
+        "unsupported report schema": report.get("schema_version", REPORT_VERSION) == REPORT_VERSION,
+        "a report needs an identity": isinstance(report.get("identity"), dict),
+        "a report must state a limitation": bool(report.get("limitations")),
+        "a report needs metrics": isinstance(report.get("metrics"), dict) and bool(report["metrics"]),
+        "a report needs a gate": bool(gates),
+        "a gate needs a name and an explanation": all(str(g.get(k) or "").strip() for g in gates for k in ("name", "explanation")),
+        "numbers must be finite": finite(report.get("metrics")) and all(finite(g) for g in gates),
+        "a failed gate can't decide 'keep'": not (report.get("decision") == "keep" and any(g.get("status") == "fail" for g in gates)),
+    }
+    for fault, holds in rules.items():
+        if not holds:
+            raise ValueError(fault)
+
+
+def research_sections(report: dict) -> tuple[str, dict[str, object]]:
+    """(title, sections) of a research report, for report_markdown and report_html."""
+    check_report(report)
+    who = report["identity"]
+    gates = [{"Gate": g["name"], "Status": g.get("status", "not_run"), "Metric": g.get("metric") or "—", "Observed": "—" if g.get("observed") is None else g["observed"], "Threshold": "—" if g.get("threshold") is None else g["threshold"], "Explanation": g["explanation"]} for g in report["gates"]]
+    sections = {
+        "Decision": {"Decision": report.get("decision", "not_decided"), "Evidence class": report.get("evidence_class"), "Created": who.get("created_at_utc")},
+        "Limitations": report["limitations"],
+        "Decision gates": gates,
+        "Failures": report.get("failures") or ["None recorded."],
+        "Provenance": {"Config hash": who.get("config_hash"), "Experiment hash": who.get("experiment_hash") or "n/a", "Git commit": who.get("git_commit") or "unavailable", "Command": " ".join(who.get("command") or [])},
+        "Metrics": canonical_json(report["metrics"]),
+        "Resolved configuration": canonical_json(report.get("resolved_config") or {}),
+        "Environment": canonical_json({k: report.get(k) or {} for k in ("hardware", "software")}),
+    }
+    return f"Research report {who.get('run_id', '')}".strip(), sections
+
+
+def old_sections(report: dict) -> tuple[str, dict[str, object]]:
+    """(title, sections) of a report of the older form; fields it doesn't know are ignored, missing ones are blank."""
+    metadata = {k: report.get(f, "") for k, f in {"Date": "date", "Git commit": "git_commit", "Device": "device", "Dtype": "dtype", "Seed": "seed", "Result type": "result_type"}.items()}
+    sections = {"Metadata": metadata | {"Git commit": report.get("git_commit") or "unavailable"}, "Summary": report.get("summary", ""), "Raw metrics": canonical_json(report.get("raw_metrics") or {}), "Limitations": report.get("limitations") or ["None recorded."], "Recommendation": report.get("recommendation", "")}
+    return report.get("name", ""), sections
+
+
 def report_html(title: str, sections: dict[str, object]) -> str:
     """The same as one HTML page, everything escaped."""
     e = lambda x: html.escape(str(x))
