@@ -28,7 +28,10 @@ def with_split(rows: DataFrame, seed: int = 1337, train: float = 0.9, val: float
     """rows with content_hash, group_key and assigned_split. All rows of a group share a split; a row keeps its own for ever."""
     check_fractions(train, val, test)
     r = rows.withColumn("content_hash", content_hash("system", "user", "assistant"))
-    r = r.withColumn("group_key", group_key(F.col("content_hash")) if group_aware else F.col("content_hash"))
+    if group_aware:  # parsed once, not for each key
+        r = r.withColumn("_metadata", F.try_parse_json("metadata_json")).withColumn("group_key", group_key(F.col("content_hash"), F.col("_metadata"))).drop("_metadata")
+    else:
+        r = r.withColumn("group_key", F.col("content_hash"))
     return r.withColumn("assigned_split", assigned(unit_interval("group_key", seed), normalized_split("split") if respect_declared else None, train, val))
 
 

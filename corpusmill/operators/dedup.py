@@ -80,13 +80,17 @@ def near_duplicates(rows: DataFrame, distance: int = 3, family: str = "blake2b",
 
 def _met(one: DataFrame, keys: list[Column], distance: int) -> DataFrame:
     """(fp, other): for each fingerprint the first lines before its own of those in a bucket with it that are near."""
-    b = one.select("fp", "first", F.posexplode(F.array(*keys)).alias("k", "v"))
-    hot = cut(b.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_BLOCK).select("k", "v", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("parts")))
-    b = b.join(hot, ["k", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    x = b.select("k", "v", "fp", "first", F.col("own").alias("i"), every.alias("j"))
-    y = b.select("k", "v", F.col("fp").alias("fp0"), F.col("first").alias("other"), F.col("own").alias("j"), every.alias("i"))
-    return x.join(y, ["k", "v", "i", "j"]).where("other < first").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= distance).select("fp", "other")
+    named = F.array(*[F.lit(k << 40).bitwiseOR(c.cast("long")) for k, c in enumerate(keys)])
+    b = one.select(F.explode(named).alias("key"), "fp", "first")
+    hot = cut(b.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_BLOCK).select("key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("parts")))
+    on, x = ["key"], b
+    y = b.select("key", F.col("fp").alias("fp0"), F.col("first").alias("other"))
+    if not hot.isEmpty():
+        b = b.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        on, x = ["key", "i", "j"], b.select("key", "fp", "first", F.col("own").alias("i"), every.alias("j"))
+        y = b.select("key", F.col("fp").alias("fp0"), F.col("first").alias("other"), F.col("own").alias("j"), every.alias("i"))
+    return x.join(y, on).where("other < first").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= distance).select("fp", "other")
 
 
 def cross_split(rows: DataFrame, key: str = "content_hash", split: str = "split") -> DataFrame:

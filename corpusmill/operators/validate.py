@@ -68,8 +68,11 @@ def _named(v: Column, key: str) -> Column:
     return F.when((kind == "STRING") | whole, text).when(kind == "BOOLEAN", F.initcap(text))
 
 
-def group_key(content: Column) -> Column:
-    """The first group id in the metadata that isn't blank, as it is written, else the id, else the content hash; its kind stands in front."""
-    v = F.try_parse_json("metadata_json")
+def group_key(content: Column, metadata: Column | None = None) -> Column:
+    """The first group id in the metadata that isn't blank, as it is written, else the id, else the content hash; its kind stands in front.
+
+    metadata: the parsed metadata_json, where it is at hand.
+    """
+    v = F.try_parse_json("metadata_json") if metadata is None else metadata
     from_meta = [F.when(strip(x) != "", F.concat(F.lit(f"metadata:{k}:"), x)) for k in GROUP_KEYS for x in [_named(v, k)]]
     return F.coalesce(*from_meta, F.when(F.col("id") != "", F.concat(F.lit("id:"), F.col("id"))), F.concat(F.lit("content:"), content))

@@ -31,9 +31,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+#: A single file of this size is read by one task or two, since its rows are few row groups.
+ONE_FILE = range(1 << 20, 128 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One Parquet table of a data directory, a folder of files or a single one.
+
+    A folder's files are spread over tasks as they are. A single file of some MB would occupy one task with all that
+    follows, so its rows are dealt out over the cores; nothing larger ever is.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    if status.isFile() and status.getLen() in ONE_FILE and spark.sparkContext.defaultParallelism > 2:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def shuffle_width(spark: SparkSession) -> int:
