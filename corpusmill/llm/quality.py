@@ -12,23 +12,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .language import Guess
 from .wordsets import WORD
 
 #: The statistics, in the order of the distance's coordinates.
-STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "digit_ratio", "distinct_ratio", "sentence_ends_per_word")
+STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "digit_ratio", "distinct_ratio", "sentence_ends_per_word", "entry_share")
 #: Least standard deviation of each statistic: prose that never varies in one would make its distance infinite.
-FLOORS = np.array([0.35, 0.30, 0.012, 0.10, 0.05, 0.012, 0.03, 0.025])
+FLOORS = np.array([0.35, 0.30, 0.012, 0.10, 0.05, 0.012, 0.03, 0.025, 0.10])
 #: Documents of other languages whose pooled moments stand beside a language's own.
 SHRINK_MEAN, SHRINK_COV = 20.0, 60.0
-#: Squared distance beyond which a document isn't prose: the 0.999 quantile of chi-square with 8 degrees of freedom.
-CUT = 26.12
+#: Squared distance beyond which a document isn't prose: the 0.999 quantile of chi-square with 9 degrees of freedom.
+CUT = 27.88
 #: Concentration steps of the robust estimate, and the part of a language's documents the first one keeps.
 STEPS = 4
 
 # ---- fixed values: shapes of lines ---------------------------------------------------------------------------------
 _ENDS, _CLOSERS = ".!?…。", "\"'”’»)*_`] \t\r"
 _MARK = re.compile(r"^\s*(?:[-*•+–—·▪◦‣]|\d{1,3}[.):]|\(\d{1,3}\)|\(?[a-zA-Z][.)]|\([ivx]+\)|\[[ xX]?\]|[☐☑✓✗])\s+\S")
+#: Marks of an entry; a dash that opens a line of dialogue is none.
+_ENTRY = re.compile(r"^\s*(?:[-*•+·▪◦‣]|\d{1,3}[.):]|\(\d{1,3}\)|\(?[a-zA-Z][.)]|\([ivx]+\)|\[[ xX]?\]|[☐☑✓✗])\s+(?=\S)")
+_STOP = re.compile(r"[.!?…。]+[\"'”’»)]*(?=\s|$)")
 _KEY = re.compile(r"^\s*[^\s:=]{1,32}(?: [^\s:=]{1,24}){0,2}\s*(?::|=|=>|->)\s+\S")
 _DASHED = re.compile(r"^\s*\S{1,32}(?: \S{1,24})? [–—-] \S")
 _LOG = re.compile(r"^\s*\[\w{2,}\]\s.*\d|^\W*(?:\d{4}-\d\d-\d\d|\d\d:\d\d|\d{9,}|(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b)|\b(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b")
@@ -59,6 +63,12 @@ def logical_lines(text: str) -> list[str]:
     return out
 
 
+def entry_share(lines: list[str]) -> float:
+    """Share of logical lines that are entries: a mark and no more than one sentence. One entry alone is none."""
+    n = sum(bool(m) and len(_STOP.findall(x, m.end())) <= 1 for x in lines for m in [_ENTRY.match(x)])
+    return n / len(lines) if n > 1 else 0.0
+
+
 def statistics(text: str | None, lang: str | None, guess: Guess) -> tuple[str, int, list[float], str | None]:
     """(language, word count, STATISTICS, shape) of one document, over its whole text; null counts as empty."""
     text = text or ""
@@ -71,6 +81,7 @@ def statistics(text: str | None, lang: str | None, guess: Guess) -> tuple[str, i
     common = guess.words.get(spoken, frozenset())
     distinct = len(set(words))
     ends = sum(text.count(c) for c in ".!?…")
+    entries = entry_share(lines)
     return (
         spoken,
         n,
@@ -83,8 +94,9 @@ def statistics(text: str | None, lang: str | None, guess: Guess) -> tuple[str, i
             sum(map(text.count, "0123456789")) / solid,
             math.log1p(distinct) / math.log1p(n) if n else 0.0,
             min(ends / n, 1.0) if n else 0.0,
+            entries,
         ],
-        kind_of(text, words),
+        kind_of(text, words) or ("list" if entries >= 0.5 else None),
     )
 
 
@@ -224,7 +236,7 @@ def fit_prose(stats: DataFrame) -> Prose:
     middle, scale = q[:, 1], np.maximum((q[:, 2] - q[:, 0]) / 1.349, FLOORS)
 
     def near(langs: list[str], x: np.ndarray) -> np.ndarray:
-        return (np.abs(x - middle)[:, [1, 2, 3, 5, 6, 7]] <= 3 * scale[[1, 2, 3, 5, 6, 7]]).all(1) & (x[:, 4] > 0.08)
+        return (np.abs(x - middle)[:, [1, 2, 3, 5, 6, 7, 8]] <= 3 * scale[[1, 2, 3, 5, 6, 7, 8]]).all(1) & (x[:, 4] > 0.08)
 
     prose = Prose(_moments(stats, near))
     for _ in range(STEPS - 1):
@@ -239,7 +251,7 @@ def scored(documents: DataFrame, common: DataFrame) -> DataFrame:
     off the text (lang is used where the text doesn't tell; a null or wrong lang does no harm). kind is null for
     prose; an outlier gets the kind its lines show, junk if they show none. Empty and null texts are junk.
     """
-    stats = measured(documents, common).persist()
+    stats = cut(measured(documents, common))
     prose = fit_prose(stats)
     k = len(STATISTICS)
 

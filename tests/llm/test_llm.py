@@ -416,6 +416,14 @@ def test_long_log_lines_and_long_repeated_blocks_are_junk():
     assert kind("\n".join(f"{rng.choice(few)}: {rng.choice(few)}" for _ in range(4000))) == "list"
 
 
+def test_marked_sentences_are_entries_and_dialogue_is_not():
+    bullets = ["• The whole crew was there.", "• It was not only the path, but the loss fell to 1.23.", "• They had to make the trip!"]
+    assert quality.entry_share(bullets) == 1.0 and quality.entry_share(bullets[:1]) == 0.0 and quality.entry_share([]) == 0.0
+    assert quality.entry_share(["1. One thing.", "2) Another thing", "Prose that ends."]) == pytest.approx(2 / 3)
+    assert quality.entry_share(["— They left. It was late.", "— So they said."]) == 0.0
+    assert quality.entry_share(["- They left. It was late. The crew stayed.", "- So it went on. And on."]) == 0.0
+
+
 def test_quality_tells_prose_from_the_rest(spark):
     rng = random.Random(6)
     vocab = LEXICON + "path crew door book trip road house river".split()
