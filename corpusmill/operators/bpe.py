@@ -71,11 +71,11 @@ def train(texts: DataFrame, vocab_size: int, min_frequency: int = 2, text: str =
         tasks = _Tasks(distinct, text)
         while len(merges) < vocab_size - FIRST:
             best = tasks.best(merges)
-            if best is None:
-                return merges, "no_pairs"
-            if best[0] < min_frequency:
-                return merges, "min_frequency_not_met"
+            if best is None or best[0] < min_frequency:
+                tasks.kept.unpersist()
+                return merges, "no_pairs" if best is None else "min_frequency_not_met"
             merges.append(best[1])
+        tasks.kept.unpersist()
         return merges, "target_vocab_reached"
     head = distinct.collect()
     groups = _grouped([r[0] for r in head], [r.n for r in head])
